@@ -1,6 +1,8 @@
-"""The queries of all operators, with SQL oracles."""
+"""The queries of all operators, with SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ledgerloom.plans.oracles import ORACLES
+from ledgerloom.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -408,3 +408,52 @@ def cycle_lift(spark: SparkSession, sf: str) -> DataFrame:
 
 def format_columns(side: str) -> list[str]:
     return [f"{p}_count_{side}" for p in FORMATS.values()]
+
+
+# Models. Few and shallow trees keep the queries short; the operators' own defaults are larger.
+
+
+def _small_model():
+    from ledgerloom.models.boosting import Params
+
+    return Params(trees=20, depth=3)
+
+
+MODEL_COLUMNS = [c for c in features.BEHAVIOURAL if c != "flow_ratio"] + ["degree", "in_degree", "out_degree", "temporal_fan_out_count", "temporal_fan_in_count"]
+
+
+@query
+def forward_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Each window scored by a model of the windows before it."""
+    from ledgerloom.models import forward
+
+    return forward.forward_chain(nodes(spark, sf), MODEL_COLUMNS, _small_model())
+
+
+@query
+def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures by window of the forward-chained model."""
+    return evaluate.confusion(forward_chain(spark, sf), ["window_id"])
+
+
+@query
+def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean absolute attributions of the forward-chained models."""
+    from ledgerloom.models import forward
+
+    return forward.importance(nodes(spark, sf), MODEL_COLUMNS, _small_model())
+
+
+@query
+def cascade_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    from ledgerloom.models import forward
+
+    return forward.cascade(nodes(spark, sf), MODEL_COLUMNS, _small_model())
+
+
+@query
+def undersample(spark: SparkSession, sf: str) -> DataFrame:
+    """All flagged rows, and twice as many others."""
+    from ledgerloom.models import forward
+
+    return forward.undersample(nodes(spark, sf), ratio=2).select("window_id", "entity_id", "is_fraud")

@@ -31,7 +31,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def transactions_csv(spark: SparkSession, path: str, timestamp_format: str = "yyyy/MM/dd HH:mm") -> DataFrame:
     """A transaction file with a header; columns are taken by position, so a repeated name in the header does no harm."""
-    return spark.read.csv(path, header=True, schema=TRANSACTION, enforceSchema=True, timestampNTZFormat=timestamp_format)
+    return spark.read.option("timestampNTZFormat", timestamp_format).csv(path, header=True, schema=TRANSACTION, enforceSchema=True)
 
 
 def accounts_csv(spark: SparkSession, path: str) -> DataFrame:

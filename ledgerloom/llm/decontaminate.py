@@ -148,9 +148,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """The documents that contain no window, with all their columns."""
     if not fits(benchmark, "text", limit):
-        row = docs.withColumn("_loom_row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-        hit = contamination_by_join(row.select("_loom_row", text).dropDuplicates(["_loom_row"]), benchmark, "_loom_row", text).where("contaminated").select("_loom_row")
-        return row.join(hit, "_loom_row", "left_anti").drop("_loom_row")
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("mark"), F.col(text).alias("text"))
+        hit = contamination_by_join(rows.select("mark", "text").dropDuplicates(["mark"]), benchmark, "mark").where("contaminated").select("mark")
+        return rows.join(hit, "mark", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
     index = docs.sparkSession.sparkContext.broadcast(build_index(docs, benchmark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +181,12 @@ def contamination_by_join(docs: DataFrame, benchmark: DataFrame, key: str = "doc
     ranked = windows.select("item", "window", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
     best = ranked.groupBy("item", "window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "offset")).alias("b"))
     indexed = best.select("item", "window", F.col("b.word").alias("word"), F.col("b.offset").alias("offset"))
-    hits = doc_words.select("_row", F.size("w").alias("n"), "w", F.posexplode("w").alias("p", "word"))
-    around = F.slice("w", F.greatest(F.lit(1), F.col("p") + 2 - WINDOW), 2 * WINDOW - 1)
-    hits = hits.join(indexed.select("word").distinct(), "word", "left_semi").select("_row", "n", "p", "word", around.alias("around"), F.least(F.col("p"), F.lit(WINDOW - 1)).alias("before"))
+    # only the places of index words leave the documents; then each takes the words around it along
+    places = doc_words.select("_row", F.posexplode("w").alias("p", "word")).join(indexed.select("word").distinct(), "word", "left_semi")
+    places = places.groupBy("_row").agg(F.collect_list("p").alias("places"))
+    w = F.col("w")
+    taken = F.transform("places", lambda p: F.struct(p.alias("p"), F.get(w, p).alias("word"), F.slice(w, F.greatest(F.lit(1), p + 2 - WINDOW), F.lit(2 * WINDOW - 1)).alias("around"), F.least(p, F.lit(WINDOW - 1)).alias("before")))
+    hits = doc_words.join(places, "_row").select("_row", F.size("w").alias("n"), taken.alias("taken")).select("_row", "n", F.explode("taken").alias("x")).select("_row", "n", "x.*")
     met = hits.join(indexed, "word").where("p >= offset AND p - offset + size(window) <= n")
     met = met.where(F.slice("around", F.col("before") - F.col("offset") + 1, F.size("window")) == F.col("window"))
     spans = met.select("_row", "item", F.explode(F.sequence(F.col("p") - F.col("offset"), F.col("p") - F.col("offset") + F.size("window") - 1)).alias("at"))

@@ -112,12 +112,12 @@ def ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.nda
     """Log-count ratios of all features; zero for those that no row has."""
     counts = [np.bincount(np.concatenate([r for r, c in zip(rows, y) if c == k] or [np.empty(0, np.int64)]), minlength=FEATURES).astype(float) for k in (0, 1)]
     seen = counts[0] + counts[1] > 0
-    logs = [np.log((c + smooth) / (c.sum() + smooth * seen.sum())) for c in counts]
+    logs = [np.log((c + smooth) / max(1.0, c.sum() + smooth * seen.sum())) for c in counts]
     return np.where(seen, logs[1] - logs[0], 0.0)
 
 
-def coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Hinge-loss support vectors: the dual variables are optimised one by one, each between 0 and its class's cost."""
+def coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 1.0, rounds: int = 12, tolerance: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Hinge-loss support vectors: the dual variables are optimised one by one, each between 0 and its class's cost, until none moves by ``tolerance``."""
     random = np.random.default_rng(seed)
     sign = np.where(y > 0, 1.0, -1.0)
     cost = np.where(y > 0, c * len(y) / max(1, 2 * y.sum()), c * len(y) / max(1, 2 * (len(y) - y.sum())))
@@ -135,7 +135,7 @@ def coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c:
                 bias += step
                 alpha[i] = new
                 largest = max(largest, abs(step))
-        if largest < 1e-3:
+        if largest < tolerance:
             break
     return w, bias
 

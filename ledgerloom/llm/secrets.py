@@ -195,12 +195,14 @@ def redacted(text: Column, spans: Column, marker: str = "[REDACTED]") -> Column:
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced, and ``length`` set to the new length where text changed."""
-    found = with_spans(docs, text, "_loom_spans")
-    changed = {text: redacted(F.col(text), F.col("_loom_spans"))}
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    spans = F.col("spans")
+    found = with_spans(rows, "text", "spans").withColumn("text", redacted(F.col("text"), spans))
+    new = {text: F.col("text")}
     if length in docs.columns:
-        new = F.length(changed[text]).cast(docs.schema[length].dataType)
-        changed[length] = F.when(F.size("_loom_spans") > 0, new).otherwise(F.col(length))
-    return found.withColumns(changed).select(*(F.col(f"`{c}`") for c in docs.columns))
+        count = F.length("text").cast(docs.schema[length].dataType)
+        new[length] = F.when(F.size(spans) > 0, count).otherwise(F.col("row")[length])
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 # The same in SQL, for DuckDB.

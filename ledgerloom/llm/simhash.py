@@ -322,16 +322,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Rows that agree in key and text are copies of each other; one of them stays.
     """
-    mark, nth = "_loom_mark", "_loom_nth"
-    row_mark = F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
-    marked = fingerprints(docs.select(F.col(key), F.col(text), row_mark.alias(mark)), text, (key, mark))
-    found = cut(components(marked, key))
+    own, mark = F.col(key), F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
+    found = cut(components(fingerprints(docs.select(own.alias("own"), mark.alias("mark"), F.col(text).alias("text")), "text", ("own", "mark")), "own"))
     alone = F.when(F.col("component_id").isNull(), F.col("fp"))  # components without any key count by fingerprint
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col(mark).alias("m")))
-    kept = found.groupBy("component_id", alone.alias("alone")).agg(first.alias("first")).select(F.col("first.k").alias("_loom_k"), F.col("first.m").alias("_loom_m"))
-    rows = docs.withColumn(mark, row_mark)
-    rows = rows.join(kept, (F.col(mark) == F.col("_loom_m")) & F.col(key).eqNullSafe(F.col("_loom_k")), "left_semi")
-    if not found.groupBy(key, mark).count().where("count > 1").isEmpty():
-        order = Window.partitionBy(mark, key).orderBy(mark)
-        rows = rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= 1).drop(nth)
-    return rows.drop(mark)
+    first = F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("k"), F.col("mark").alias("m")))
+    kept = found.groupBy("component_id", alone.alias("alone")).agg(first.alias("first")).select(F.col("first.k").alias("k"), F.col("first.m").alias("m"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("own"), mark.alias("mark"))
+    rows = rows.join(kept, (F.col("mark") == F.col("m")) & F.col("own").eqNullSafe(F.col("k")), "left_semi")
+    if not found.groupBy("own", "mark").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("mark", "own").orderBy("mark"))).where("nth <= 1")
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

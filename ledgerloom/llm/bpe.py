@@ -37,10 +37,12 @@ from ledgerloom.llm.common import map_arrow, raw, ship, slices
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 40
 #: A task reports the words that make up at least this share of its own words. A word with that share
-#: of the corpus has it in some task, so none is missed, and a task reports at most its inverse of rows.
+#: of the corpus has it in some task, so a task reports at most its inverse of rows.
 COUNT_SHARE = 1e-5
-#: Words remembered by a task.
-CACHE_WORDS = 300_000
+#: A task doesn't report words that it has met fewer times than this.
+COUNT_LEAST = 4
+#: Words remembered by a Python worker, from task to task.
+CACHE_WORDS = 800_000
 #: Words longer than this many bytes are merged one by one with a heap.
 BLOCK_BYTES = 64
 
@@ -332,28 +334,33 @@ class Codec:
             yield b"".join(map(csv, words))[:-1], b"".join(map(back, words)).decode("utf-8", "replace").encode()
 
 
+@functools.lru_cache(maxsize=1)
+def codec(path: str, name: str) -> Codec:
+    """The worker's codec for a vocabulary and a lexicon; what it has learned serves the next task too."""
+    return Codec(merges(path), lexicon(name))
+
+
 def frequent_words(docs: DataFrame, path: str, text: str = "text", limit: int = LEXICON_WORDS) -> list[bytes]:
     """The most frequent pre-tokens of all documents (ties: smaller bytes first), ascending by bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, found, total = Codec(merges(path), None), Counter(), 0
-        floor = 1
+        own, found, total = Codec(merges(path), None), Counter(), 0
 
         def rows() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in found.items() if n >= max(1, COUNT_SHARE * total) and len(w) <= LEXICON_BYTES]
+            kept = [(w, n) for w, n in found.items() if n >= max(COUNT_LEAST, COUNT_SHARE * total) and len(w) <= LEXICON_BYTES]
             return pa.record_batch({"word": pa.array([w for w, _ in kept], pa.binary()), "n": pa.array([n for _, n in kept], pa.int64())})
 
         for batch in batches:
             for part in slices(batch, text):
                 for data in raw(part.column(text)):
-                    words = codec.words(data)
+                    words = own.words(data)
                     total += len(words)
                     found.update(words)
                 if len(found) > 2_000_000:  # send what is frequent so far; sums are made of the parts later
                     yield rows()
                     found.clear()
                     total = 0
-        if total >= floor:
+        if total:
             yield rows()
 
     counts = map_arrow(docs.select(text), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -378,11 +385,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(merges(path), lexicon(name))
+        own = codec(path, name)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             for part in slices(batch, text):
-                both = list(codec.encode(raw(part.column(text))))
+                both = list(own.encode(raw(part.column(text))))
                 cols = {
                     key: part.column(key),
                     "n_tokens": pa.array([c.count(b",") + 1 if c else 0 for c, _ in both], pa.int64()),

@@ -12,8 +12,8 @@ examples, each with itself left out.
 
 Documents without a term of the vocabulary (empty and null texts too) get the
 share of label 1 among such examples. Without labelled examples every score is
-0.5. Ties of similarity go to the example first in the index. Repeated rows give
-repeated results.
+0.5. Of examples as similar as the last of the nearest all vote, so no order
+decides. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -35,8 +35,11 @@ from ledgerloom.llm.labelled import fit_sigmoid, held_out, labelled_sample
 #: Labelled examples in the index at most, and terms in the vocabulary.
 EXAMPLES, TERMS = 8192, 4096
 BLOCK, NEIGHBOURS = 64, 15
-LEAST_CHI2, LEAST_DOCS = 20.0, 3
-BEGINNINGS = (4, 5, 6)
+#: Cosines this close are ties.
+TIE = 1e-9
+#: So many terms are tested that rare ones reach lower values by chance: at a share of 0.1, five documents of one label in a row reach 40.
+LEAST_CHI2, LEAST_DOCS = 40.0, 5
+BEGINNINGS = (4, 5, 6, 7, 8)
 CACHE_WORDS = 500_000
 THRESHOLD = 0.5
 
@@ -44,8 +47,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(word: str) -> list[int]:
-    """The word and its beginnings, as 63-bit hashes."""
-    names = [f"={word}", *(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n)]
+    """The word's beginnings from short to long, and the word, as 63-bit hashes."""
+    names = [*(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n), f"={word}"]
     return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in names]
 
 
@@ -81,8 +84,8 @@ class Index:
             df[list(c)] += 1
         self.idf = np.log((len(counts) + 1) / (df + 1)) + 1
         vectors = [self.vector(c) for c in counts]
-        # alike examples into the same block: by label, then by their weightiest term
-        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (labels[i], int(vectors[i][0][vectors[i][1].argmax()]), keys[i]))
+        # alike examples into the same block: by their weightiest term
+        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), keys[i]))
         self.keys, self.labels = [keys[i] for i in order], np.array([labels[i] for i in order], np.float64)
         self.blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((size, self.blocks), np.float64)
@@ -105,22 +108,27 @@ class Index:
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the k nearest examples with a positive cosine, nearest first."""
+        """(cosine, place) of the k nearest examples with a positive cosine, and of all as near as the last of them; nearest first."""
         bounds = w @ self.most[t]
         best: list[tuple[float, int]] = []
+        floor = 0.0
         pairs = list(zip(t.tolist(), w.tolist()))
         for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
+            if bounds[b] <= 0 or bounds[b] < floor:
                 break
             sums = np.zeros(BLOCK)
             for term, weight in pairs:
                 lo, hi = self.starts[term][b], self.starts[term][b + 1]
                 if lo < hi:
                     sums[self.places[term][lo:hi] - b * BLOCK] += weight * self.weights[term][lo:hi]
-            floor = best[-1][0] if len(best) == k else 0.0
-            new = [(float(sums[i]), b * BLOCK + i) for i in np.flatnonzero((sums > 0) & (sums >= floor)).tolist() if b * BLOCK + i != without]
-            best = sorted(best + new, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            near = np.flatnonzero((sums > 0) & (sums >= floor))
+            best += [(float(sums[i]), b * BLOCK + i) for i in near.tolist() if b * BLOCK + i != without]
+            if len(best) > k:
+                best.sort(key=lambda x: (-x[0], x[1]))
+                floor = best[k - 1][0] - TIE
+                while best[-1][0] < floor:
+                    best.pop()
+        return sorted(best, key=lambda x: (-x[0], x[1]))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Votes of the neighbours by 1 / (distance + 0.1), with one vote of the base rate at distance 1."""
@@ -155,7 +163,7 @@ def vocabulary(sample: DataFrame) -> dict[int, int]:
     """The terms that depend most on the label, by chi-squared over the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, known = (Counter(), Counter()), [0, 0], {}
+        counts, n, known, above = (Counter(), Counter()), [0, 0], {}, {}
         for batch in batches:
             for part in slices(batch):
                 for label, text in zip(part.column("label").to_pylist(), texts(part.column("text"))):
@@ -163,15 +171,23 @@ def vocabulary(sample: DataFrame) -> dict[int, int]:
                     found = set()
                     for w in set(words(text)):
                         if w not in known:
-                            known[w] = terms(w)
+                            known[w] = chain = terms(w)
+                            above.update(zip(chain[1:], chain))
                         found.update(known[w])
                     counts[label].update(found)
                     if len(known) > CACHE_WORDS:
                         known = {}
         every = list(counts[0].keys() | counts[1].keys())
-        yield pa.record_batch({"term": pa.array([-1, *every], pa.int64()), "n0": pa.array([n[0], *(counts[0][t] for t in every)], pa.int64()), "n1": pa.array([n[1], *(counts[1][t] for t in every)], pa.int64())})
-
-    counts = map_arrow(sample, run, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        yield pa.record_batch({
+            "term": pa.array([-1, *every], pa.int64()),
+            "above": pa.array([-1, *(above.get(t, -1) for t in every)], pa.int64()),
+            "n0": pa.array([n[0], *(counts[0][t] for t in every)], pa.int64()),
+            "n1": pa.array([n[1], *(counts[1][t] for t in every)], pa.int64()),
+        })
+
+    # copies of a text count once, else what they happen to share would look like a mark of their label
+    distinct = sample.select("label", "text").dropDuplicates()
+    counts = map_arrow(distinct, run, "term long, above long, n0 long, n1 long").groupBy("term").agg(F.max("above").alias("above"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = cut(counts)
     total = counts.where("term = -1").first()
     if not total or not total.n0 or not total.n1:
@@ -179,8 +195,25 @@ def vocabulary(sample: DataFrame) -> dict[int, int]:
     a, c = F.col("n1").cast("double"), F.col("n0").cast("double")
     b, d = F.lit(float(total.n1)) - a, F.lit(float(total.n0)) - c
     chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * F.greatest(b + d, F.lit(1e-9)))
-    top = counts.where("term >= 0").where(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    return {r.term: i for i, r in enumerate(sorted(top, key=lambda r: r.term))}
+    tested = counts.where("term >= 0").where(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    top = tested.orderBy(F.desc("chi2"), F.desc("n1"), "term").limit(TERMS).collect()
+    return {t: i for i, t in enumerate(sorted(best_of_chains([(r.term, r.above) for r in top])))}
+
+
+def best_of_chains(ranked: list[tuple[int, int]]) -> set[int]:
+    """Of a word and its beginnings the one that says most: a term goes if one above or below it in its chain ranks before it.
+
+    ranked: (term, the next shorter beginning or -1), best first.
+    """
+    above, kept, over = dict(ranked), set(), set()
+    for term, _ in ranked:
+        line = [term]
+        while (up := above.get(line[-1], -1)) >= 0:
+            line.append(up)
+        if term not in over and kept.isdisjoint(line):
+            kept.add(term)
+            over.update(line)
+    return kept
 
 
 def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> tuple[Index, dict[int, int]]:
@@ -225,7 +258,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
                             memory.clear()
                         memory[at] = index.score(counts)
                     found.append(memory[at])
-                evidence = [[{"key": index.keys[p], "label": int(index.labels[p]), "similarity": s} for s, p in near] for _, near in found]
+                evidence = [[{"key": index.keys[p], "label": int(index.labels[p]), "similarity": s} for s, p in near[:NEIGHBOURS]] for _, near in found]
                 yield pa.record_batch({
                     key: part.column(key),
                     "held_out": part.column("held_out"),

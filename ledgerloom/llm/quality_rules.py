@@ -31,9 +31,9 @@ BROADCAST_ROWS = 50_000
 #: measure: (quantile, factor, floor). Above quantile * factor, and above the floor, a document is rejected.
 #: Measures are shares of a thousand, but for mean_chars, the mean length of a word in hundredths of a character.
 RULES = {
-    "symbols": (0.75, 4.0, 100),
-    "dup_lines": (0.90, 4.0, 300),
-    "repeat_words": (0.90, 3.0, 200),
+    "symbols": (0.75, 4.0, 80),
+    "dup_lines": (0.90, 4.0, 500),
+    "repeat_words": (0.90, 3.0, 400),
     "upper": (0.75, 4.0, 400),
     "mean_chars": (0.95, 2.5, 1200),
 }

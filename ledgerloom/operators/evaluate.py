@@ -117,3 +117,15 @@ def entity_recall(predictions: DataFrame, group: list[str]) -> DataFrame:
     bad = F.col("y_true") == 1
     n = predictions.groupBy(*group).agg(F.count_distinct(F.when(bad, F.col("entity_id"))).alias("fraud_entities"), F.count_distinct(F.when(bad & (F.col("y_pred") == 1), F.col("entity_id"))).alias("found_entities"))
     return n.withColumn("entity_recall", _rate(F.col("found_entities"), F.col("fraud_entities")))
+
+
+def summary(by_window: DataFrame, measures: tuple[str, ...] = ("accuracy", "precision", "recall", "f1")) -> DataFrame:
+    """Pooled measures of all windows (from summed counts), with the mean and standard deviation of each over windows."""
+    tp, fp, fn, tn = (F.sum(c) for c in ("tp", "fp", "fn", "tn"))
+    pooled = {"accuracy": _rate(tp + tn, tp + fp + fn + tn), "precision": _rate(tp, tp + fp), "recall": _rate(tp, tp + fn), "f1": _rate(2 * tp, 2 * tp + fp + fn)}
+    return by_window.groupBy("algorithm").agg(F.count("*").alias("windows"), *(pooled[m].alias(f"pooled_{m}") for m in measures), *(F.avg(m).alias(f"mean_{m}") for m in measures), *(F.stddev_samp(m).alias(f"std_{m}") for m in measures))
+
+
+def pivoted(metrics: DataFrame, features: list[str], value: str = "auprc") -> DataFrame:
+    """A row for each window and a column for each feature, named beforehand so that no pass finds the names."""
+    return metrics.groupBy("window_id").pivot("feature", features).agg(F.first(value))

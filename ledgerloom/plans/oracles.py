@@ -167,6 +167,8 @@ ORACLES: dict[str, str] = {
     "heuristic_stats": f"WITH {_HEUR} SELECT feature, {_STATS4('auprc')}, {_STATS4('roc_auc')} FROM heur GROUP BY feature",
     "calibrate_threshold": f"WITH {_SCORES} SELECT * FROM threshold",
     "confusion_metrics": f"WITH {_SCORES} SELECT {_G}, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM conf",
+    "pooled_summary": f"WITH {_SCORES} SELECT algorithm, count(*) AS windows, round(sum(tp + tn) / sum(tp + fp + fn + tn), 6) AS pooled_accuracy, round(coalesce(sum(tp) / nullif(sum(tp + fp), 0), 0), 6) AS pooled_precision, round(coalesce(sum(tp) / nullif(sum(tp + fn), 0), 0), 6) AS pooled_recall, round(coalesce(2 * sum(tp) / nullif(sum(2 * tp + fp + fn), 0), 0), 6) AS pooled_f1, {', '.join(f'round(avg({m}), 6) AS mean_{m}, round(stddev_samp({m}), 6) AS std_{m}' for m in ABLATION)} FROM conf GROUP BY algorithm",
+    "heuristic_pivot": f"WITH {_HEUR} SELECT window_id, {', '.join(f"round(any_value(auprc) FILTER (feature = '{c}'), 6) AS {c}" for c in SCORES)} FROM heur GROUP BY window_id",
     "entity_recall": f"WITH {_SCORES} SELECT algorithm, fraud_entities, found_entities, round(coalesce(found_entities / nullif(CAST(fraud_entities AS DOUBLE), 0), 0), 6) AS entity_recall FROM (SELECT algorithm, count(DISTINCT entity_id) FILTER (y_true = 1) AS fraud_entities, count(DISTINCT entity_id) FILTER (y_true = 1 AND y_pred = 1) AS found_entities FROM pred GROUP BY algorithm)",
     "fwd_chain_split": f"WITH {_NODES}, c AS (SELECT window_id, count(*) AS test_rows, CAST(sum(is_fraud) AS BIGINT) AS test_fraud FROM nodes GROUP BY ALL) SELECT * FROM (SELECT window_id, test_rows, test_fraud, CAST(sum(test_rows) OVER w AS BIGINT) AS train_rows, CAST(sum(test_fraud) OVER w AS BIGINT) AS train_fraud FROM c WINDOW w AS (ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE window_id >= 2",
     "ablation_delta": f"WITH {_ABL} SELECT window_id, {', '.join(f'round({p}_{m}, 5) AS {p}_{m}' for m in ABLATION for p in ('base', 'full', 'delta', 'lift'))} FROM abl",

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.config import DEFAULT, FORMATS, Config
+from ledgerloom.config import DEFAULT, Config
 from ledgerloom.functions.scalar import flow_ratio as ratio
 from ledgerloom.operators import evaluate, features, iterative, ledger, motifs, profiles, reports, windows
+from ledgerloom.session import durable
 from ledgerloom.sources import fixture
 from ledgerloom.sources.tables import up_to
 
@@ -54,6 +55,11 @@ def edges(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
     return windows.edges(windows.assign(rows, within))
 
 
+def edges_once(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
+    """The edges, computed once: for operators that read them several times, which would else aggregate the transfers anew each time."""
+    return durable(edges(spark, sf, only))
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     rows = resolved(spark, sf)
     return profiles.nodes(rows, windows.bounds(rows))
@@ -61,14 +67,14 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     n = rounded(nodes(spark, sf), **{c: d for c, d in SCORES.items() if d})
-    return evaluate.long_scores(n, list(SCORES))
+    return durable(evaluate.long_scores(n, list(SCORES)))
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
     """Entities of the purchase graph with their component and label."""
     rows = resolved(spark, sf)
     marks = profiles.fraud(windows.assign(rows, windows.bounds(rows)))
-    return iterative.components(edges(spark, sf, "purchase")).join(marks, ["window_id", "entity_id"])
+    return iterative.components(edges_once(spark, sf, "purchase")).join(marks, ["window_id", "entity_id"])
 
 
 # Relational core.
@@ -177,95 +183,95 @@ def fan_motifs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scatter_gather(spark: SparkSession, sf: str) -> DataFrame:
-    return motifs.scatter_gather(edges(spark, sf))
+    return motifs.scatter_gather(edges_once(spark, sf))
 
 
 @query
 def cycles_le3(spark: SparkSession, sf: str) -> DataFrame:
-    return motifs.cycles(edges(spark, sf), 3)
+    return motifs.cycles(edges_once(spark, sf), 3)
 
 
 @query
 def cycles_le6(spark: SparkSession, sf: str) -> DataFrame:
-    return motifs.cycles(edges(spark, sf, "purchase"), 6)
+    return motifs.cycles(edges_once(spark, sf, "purchase"), 6)
 
 
 @query
 def egonet(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(motifs.egonets(edges(spark, sf)), egonet_density=6, egonet_total_weight=6)
+    return rounded(motifs.egonets(edges_once(spark, sf)), egonet_density=6, egonet_total_weight=6)
 
 
 @query
 def clustering(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(motifs.clustering(edges(spark, sf)), local_clustering_coefficient=6)
+    return rounded(motifs.clustering(edges_once(spark, sf)), local_clustering_coefficient=6)
 
 
 @query
 def triangles(spark: SparkSession, sf: str) -> DataFrame:
-    return motifs.triangle_counts(edges(spark, sf))
+    return motifs.triangle_counts(edges_once(spark, sf))
 
 
 @query
 def avg_nbr_degree(spark: SparkSession, sf: str) -> DataFrame:
-    return motifs.neighbours(edges(spark, sf)).select("window_id", "entity_id", F.round("average_neighbor_degree", 6).alias("average_neighbor_degree"))
+    return motifs.neighbours(edges_once(spark, sf)).select("window_id", "entity_id", F.round("average_neighbor_degree", 6).alias("average_neighbor_degree"))
 
 
 @query
 def successor_volume(spark: SparkSession, sf: str) -> DataFrame:
-    n = motifs.neighbours(edges(spark, sf)).drop("average_neighbor_degree")
+    n = motifs.neighbours(edges_once(spark, sf)).drop("average_neighbor_degree")
     return rounded(n, successor_avg_volume=9, successor_max_volume=6)
 
 
 @query
 def pagerank_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(iterative.pagerank(edges(spark, sf), 0.85, "volume", "pr_vol_deep"), pr_vol_deep=8)
+    return rounded(iterative.pagerank(edges_once(spark, sf), 0.85, "volume", "pr_vol_deep"), pr_vol_deep=8)
 
 
 @query
 def pagerank_shallow(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(iterative.pagerank(edges(spark, sf), 0.75, "volume", "pr_vol_shallow"), pr_vol_shallow=8)
+    return rounded(iterative.pagerank(edges_once(spark, sf), 0.75, "volume", "pr_vol_shallow"), pr_vol_shallow=8)
 
 
 @query
 def pagerank_count(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(iterative.pagerank(edges(spark, sf), 0.85, "count", "pr_count"), pr_count=8)
+    return rounded(iterative.pagerank(edges_once(spark, sf), 0.85, "count", "pr_count"), pr_count=8)
 
 
 @query
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(iterative.hits(edges(spark, sf)), hits_hub=8, hits_auth=8)
+    return rounded(iterative.hits(edges_once(spark, sf)), hits_hub=8, hits_auth=8)
 
 
 @query
 def k_core(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.k_core(edges(spark, sf, "purchase"))
+    return iterative.k_core(edges_once(spark, sf, "purchase"))
 
 
 @query
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.components(edges(spark, sf, "purchase"))
+    return iterative.components(edges_once(spark, sf, "purchase"))
 
 
 @query
 def modularity(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf, "purchase")
+    e = edges_once(spark, sf, "purchase")
     labels = e.select("window_id", F.explode(F.array("source", "target")).alias("entity_id")).distinct().withColumn("label", F.col("entity_id") % 5)
     return rounded(iterative.modularity(e, labels, "label"), modularity=8)
 
 
 @query
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(iterative.betweenness(edges(spark, sf, "purchase")), betweenness=8)
+    return rounded(iterative.betweenness(edges_once(spark, sf, "purchase")), betweenness=8)
 
 
 @query
 def leiden_macro(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.communities(edges(spark, sf, "purchase"), 1.0)
+    return iterative.communities(edges_once(spark, sf, "purchase"), 1.0)
 
 
 @query
 def leiden_micro(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.communities(edges(spark, sf, "purchase"), 2.0)
+    return iterative.communities(edges_once(spark, sf, "purchase"), 2.0)
 
 
 @query
@@ -333,6 +339,18 @@ def confusion_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.confusion(_predictions(spark, sf), ["window_id", "algorithm"]), accuracy=6, precision=6, recall=6, f1=6)
 
 
+@query
+def pooled_summary(spark: SparkSession, sf: str) -> DataFrame:
+    m = evaluate.summary(evaluate.confusion(_predictions(spark, sf), ["window_id", "algorithm"]))
+    return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
+
+
+@query
+def heuristic_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    m = evaluate.pivoted(evaluate.heuristic_metrics(scores(spark, sf)), list(SCORES))
+    return rounded(m, **dict.fromkeys(SCORES, 6))
+
+
 @query
 def entity_recall(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.entity_recall(_predictions(spark, sf), ["algorithm"]), entity_recall=6)
@@ -385,7 +403,7 @@ def fraud_rings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _motif_features(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf)
+    e = edges_once(spark, sf)
     rows = resolved(spark, sf)
     n = profiles.fraud(windows.assign(rows, windows.bounds(rows)))
     return features.join_features(n, [motifs.fans(e), motifs.scatter_gather(e), motifs.cycles(e, 3)])
@@ -406,10 +424,6 @@ def cycle_lift(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.cycle_lift(_motif_features(spark, sf)), cycle_fraud_rate=6, cycle_lift=6)
 
 
-def format_columns(side: str) -> list[str]:
-    return [f"{p}_count_{side}" for p in FORMATS.values()]
-
-
 # Models. Few and shallow trees keep the queries short; the operators' own defaults are larger.
 
 
@@ -457,3 +471,13 @@ def undersample(spark: SparkSession, sf: str) -> DataFrame:
     from ledgerloom.models import forward
 
     return forward.undersample(nodes(spark, sf), ratio=2).select("window_id", "entity_id", "is_fraud")
+
+
+@query
+def spearman_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank correlations of the behavioural columns, pair by pair."""
+    from ledgerloom.models import pruning
+
+    corr = pruning.spearman(nodes(spark, sf), MODEL_COLUMNS)
+    rows = [(a, b, float(corr.loc[a, b])) for i, a in enumerate(MODEL_COLUMNS) for b in MODEL_COLUMNS[i + 1 :]]
+    return spark.createDataFrame(rows, "a string, b string, rho double")

@@ -193,3 +193,20 @@ def test_stream_edges_match_batch(spark, sf, tmp_path):
     got = spark.table("streamed").select("window_start", "source", "target", F.round("volume", 6).alias("volume"), "count")
     want = windows.edges(windows.assign(rows, windows.bounds(rows))).select("window_start", "source", "target", F.round("volume", 6).alias("volume"), "count")
     assert want.exceptAll(got).isEmpty()  # the stream has partial first and last windows too
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from ledgerloom.__main__ import main
+
+    moves = "".join(f"2022/09/0{d} 00:2{d},1,{a},1,{b},9.5,Euro,9.5,Euro,Wire,{int(a == 'A')}\n" for d in range(1, 6) for a, b in (("A", "B"), ("B", "C"), ("C", "A")))
+    (tmp_path / "t.csv").write_text("Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n" + moves)
+    (tmp_path / "a.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nx,1,A,E1,n1\nx,1,B,E2,n2\nx,1,C,E3,n3\n")
+    rates = spark.createDataFrame([(f"2022-09-0{d}", "Euro", 1.1) for d in range(1, 6)], "date string, currency string, rate double")
+    rates.withColumn("date", F.col("date").cast("date")).write.parquet(str(tmp_path / "r"))
+    out = str(tmp_path / "out")
+    assert main(["clean", "--transactions", str(tmp_path / "t.csv"), "--accounts", str(tmp_path / "a.csv"), "--output", out]) == 0
+    assert main(["features", "--input", out, "--rates", str(tmp_path / "r"), "--output", str(tmp_path / "f")]) == 0
+    f = spark.read.parquet(str(tmp_path / "f"))
+    assert f.count() == 9 and {r.cycle_count for r in f.collect()} == {1} and {"hits_hub", "leiden_micro_size", "flow_ratio", "is_riser"} <= set(f.columns)
+    assert main(["fraud-rate", "--input", out, "--output", str(tmp_path / "rates")]) == 0
+    assert main(["query", "tx_fraud_rate", "--input", sf]) == 0

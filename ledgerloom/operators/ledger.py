@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import durable
+
+#: Rates are broadcast up to this many rows (a century of days for fourteen currencies is half of it), else joined by shuffle.
+BROADCAST_RATES = 1_000_000
+
 
 def fill_rates(closes: DataFrame) -> DataFrame:
     """date, currency, rate: the last close up to a date, else the first one after it."""
@@ -24,9 +29,17 @@ def calendar_rates(prices: DataFrame, first: str, last: str, currencies: list[st
 
 
 def convert(transactions: DataFrame, rates: DataFrame) -> DataFrame:
-    """Transactions with tx_date and adj_sent, the amount sent in the base currency; null without a rate."""
+    """Transactions with tx_date and adj_sent, the amount sent in the base currency; null without a rate.
+
+    A shuffle on (currency, date) would move the whole ledger, most of it to the
+    task of the commonest currency; so the rates, computed and counted first, are
+    broadcast if there are few.
+    """
+    rates = durable(rates)
     dated = transactions.withColumn("tx_date", F.col("timestamp").cast("date"))
     r = rates.select(F.col("date").alias("rate_date"), F.col("currency").alias("rate_currency"), "rate")
+    if rates.count() <= BROADCAST_RATES:
+        r = F.broadcast(r)
     joined = dated.join(r, (F.col("payment_currency") == F.col("rate_currency")) & (F.col("tx_date") == F.col("rate_date")), "left")
     return joined.withColumn("adj_sent", F.col("amount_sent_c") * F.col("rate")).drop("rate_date", "rate_currency", "rate")
 

@@ -61,7 +61,7 @@ def edges_once(spark: SparkSession, sf: str, only: str | None = None) -> DataFra
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = resolved(spark, sf)
+    rows = durable(resolved(spark, sf))  # read six times
     return profiles.nodes(rows, windows.bounds(rows))
 
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_arrow, remainder, slices, texts
@@ -124,11 +124,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
 
     rows = docs.select(F.col(lang).cast("string").alias(lang), text).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = map_arrow(rows, run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # a bounded heap of each language's most frequent, merged like the counts
-    order = F.struct((-F.col("n")).alias("n"), "code")
-    top = counts.repartition("lang", F.pmod(F.col("code"), F.lit(16))).groupBy("lang", F.pmod(F.col("code"), F.lit(16)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list(order)), 1, PROFILE).alias("top"))
-    whole = top.groupBy("lang").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, PROFILE).alias("top"))
-    return Profiles({r.lang: [x.code for x in r.top] for r in whole.collect()})
+    # ranks up to a limit: each task passes on no more than a profile of each language
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
+    found: dict[str, list[int]] = defaultdict(list)
+    for r in top.orderBy("lang", "rank").collect():
+        found[r.lang].append(r.code)
+    return Profiles(found)
 
 
 def predict(docs: DataFrame, profiles: Profiles, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -70,11 +70,11 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return durable(evaluate.long_scores(n, list(SCORES)))
 
 
-def members(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities of the purchase graph with their component and label."""
+def members(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
+    """Entities of the graph with their component and label."""
     rows = resolved(spark, sf)
     marks = profiles.fraud(windows.assign(rows, windows.bounds(rows)))
-    return iterative.components(edges_once(spark, sf, "purchase")).join(marks, ["window_id", "entity_id"])
+    return iterative.components(edges_once(spark, sf, only)).join(marks, ["window_id", "entity_id"])
 
 
 # Relational core.
@@ -173,7 +173,7 @@ def fraud_entities(spark: SparkSession, sf: str) -> DataFrame:
     return reports.fraud_entities(fixture.ledger(spark, sf), fixture.accounts(spark, sf))
 
 
-# Graph operators.
+# Graph operators. The names that end in _all take every transfer; the same names without it keep to purchases, as their SQL does.
 
 
 @query
@@ -196,6 +196,11 @@ def cycles_le6(spark: SparkSession, sf: str) -> DataFrame:
     return motifs.cycles(edges_once(spark, sf, "purchase"), 6)
 
 
+@query
+def cycles_le6_all(spark: SparkSession, sf: str) -> DataFrame:
+    return motifs.cycles(edges_once(spark, sf), 6)
+
+
 @query
 def egonet(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(motifs.egonets(edges_once(spark, sf)), egonet_density=6, egonet_total_weight=6)
@@ -247,31 +252,49 @@ def k_core(spark: SparkSession, sf: str) -> DataFrame:
     return iterative.k_core(edges_once(spark, sf, "purchase"))
 
 
+@query
+def k_core_all(spark: SparkSession, sf: str) -> DataFrame:
+    return iterative.k_core(edges_once(spark, sf))
+
+
 @query
 def components(spark: SparkSession, sf: str) -> DataFrame:
     return iterative.components(edges_once(spark, sf, "purchase"))
 
 
 @query
-def modularity(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges_once(spark, sf, "purchase")
+def components_all(spark: SparkSession, sf: str) -> DataFrame:
+    return iterative.components(edges_once(spark, sf))
+
+
+def _modularity(e: DataFrame) -> DataFrame:
     labels = e.select("window_id", F.explode(F.array("source", "target")).alias("entity_id")).distinct().withColumn("label", F.col("entity_id") % 5)
     return rounded(iterative.modularity(e, labels, "label"), modularity=8)
 
 
+@query
+def modularity(spark: SparkSession, sf: str) -> DataFrame:
+    return _modularity(edges_once(spark, sf, "purchase"))
+
+
+@query
+def modularity_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _modularity(edges_once(spark, sf))
+
+
 @query
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(iterative.betweenness(edges_once(spark, sf, "purchase")), betweenness=8)
+    return rounded(iterative.betweenness(edges_once(spark, sf)), betweenness=8)
 
 
 @query
 def leiden_macro(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.communities(edges_once(spark, sf, "purchase"), 1.0)
+    return iterative.communities(edges_once(spark, sf), 1.0)
 
 
 @query
 def leiden_micro(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.communities(edges_once(spark, sf, "purchase"), 2.0)
+    return iterative.communities(edges_once(spark, sf), 2.0)
 
 
 @query
@@ -389,16 +412,31 @@ def ablation_tests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def community_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.community_stats(members(spark, sf)), fraud_rate=6)
+    return rounded(reports.community_stats(members(spark, sf, "purchase")), fraud_rate=6)
 
 
 @query
 def community_size_bands(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.community_size_bands(reports.community_stats(members(spark, sf))), fraud_rate=6, lift=6)
+    return rounded(reports.community_size_bands(reports.community_stats(members(spark, sf, "purchase"))), fraud_rate=6, lift=6)
 
 
 @query
 def fraud_rings(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.fraud_rings(reports.community_stats(members(spark, sf, "purchase"))), mean_rate_with_fraud=6, high_risk_share=6)
+
+
+@query
+def community_stats_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.community_stats(members(spark, sf)), fraud_rate=6)
+
+
+@query
+def community_size_bands_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.community_size_bands(reports.community_stats(members(spark, sf))), fraud_rate=6, lift=6)
+
+
+@query
+def fraud_rings_all(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.fraud_rings(reports.community_stats(members(spark, sf))), mean_rate_with_fraud=6, high_risk_share=6)
 
 

@@ -30,12 +30,14 @@ LEAST_ROWS = 50
 BROADCAST_ROWS = 50_000
 #: measure: (quantile, factor, floor). Above quantile * factor, and above the floor, a document is rejected.
 #: Measures are shares of a thousand, but for mean_chars, the mean length of a word in hundredths of a character.
+#: Floors guard groups whose quantile is near zero. Those of dup_lines and repeat_words are high, as most groups' quantiles
+#: are zero there while a single repeat is a large share of a short document: in such groups these two are fixed cutoffs.
 RULES = {
-    "symbols": (0.75, 4.0, 80),
+    "symbols": (0.75, 4.0, 10),
     "dup_lines": (0.90, 4.0, 500),
     "repeat_words": (0.90, 3.0, 400),
-    "upper": (0.75, 4.0, 400),
-    "mean_chars": (0.95, 2.5, 1200),
+    "upper": (0.75, 4.0, 10),
+    "mean_chars": (0.75, 1.4, 200),
 }
 _LOG_GAMMA = math.log((1 + ACCURACY) / (1 - ACCURACY))
 _SPACE = r"[\x20\x09-\x0D]+"

@@ -50,6 +50,12 @@ class CharacterClass:
 CLASSES = (
     CharacterClass("entropy_hex", "[0-9A-F]{%d,}" % WINDOW, ("[0-9]", "[A-F]"), 3.0),
     CharacterClass("entropy_base64", "[A-Za-z0-9+/_=-]{%d,}" % WINDOW, ("[0-9]", "[A-Z]", "[a-z]"), 3.7),
+    # pieces between separators, so that a word of the allow-list beside a key doesn't suppress it
+    CharacterClass("entropy_lower", "[0-9a-z]{%d,}" % WINDOW, ("[0-9]", "[g-z]"), 3.5),
+    CharacterClass("entropy_upper", "[0-9A-Z]{%d,}" % WINDOW, ("[0-9]", "[G-Z]"), 3.5),
+    CharacterClass("entropy_mixed", "[0-9A-Za-z]{%d,}" % WINDOW, ("[0-9]", "[A-Z]", "[a-z]"), 3.7),
+    # capitals in pairs and inside: long words and names in camel case have no such mixture
+    CharacterClass("entropy_letters", "[A-Za-z]{%d,}" % WINDOW, ("[a-z][A-Z]", "[A-Z][A-Z]"), 3.9),
 )
 #: Candidates that match one of these are suppressed.
 ALLOWED = (

@@ -33,10 +33,10 @@ def extract(nodes: DataFrame, edges: DataFrame, config: Config = DEFAULT, cycle_
     edges = durable(edges)
     rename = lambda df, kind: df.select("window_id", "entity_id", *(F.col(c).alias(c.replace("leiden", f"leiden_{kind}")) for c in ("leiden_id", "leiden_size", "leiden_modularity")))
     parts = [
-        iterative.pagerank(edges, config.alpha_deep, "volume", "pr_vol_deep", config.pagerank_rounds, config),
-        iterative.pagerank(edges, config.alpha_shallow, "volume", "pr_vol_shallow", config.pagerank_rounds, config),
-        iterative.pagerank(edges, config.alpha_deep, "count", "pr_count", config.pagerank_rounds, config),
-        iterative.hits(edges, config.hits_rounds, config),
+        iterative.pagerank(edges, config.alpha_deep, "volume", "pr_vol_deep", config=config),
+        iterative.pagerank(edges, config.alpha_shallow, "volume", "pr_vol_shallow", config=config),
+        iterative.pagerank(edges, config.alpha_deep, "count", "pr_count", config=config),
+        iterative.hits(edges, config=config),
         rename(iterative.communities(edges, 1.0), "macro"),
         rename(iterative.communities(edges, 2.0), "micro"),
         iterative.betweenness(edges, config),

@@ -20,6 +20,8 @@ from ledgerloom.config import DEFAULT, Config
 from ledgerloom.session import durable, import_path
 
 W = "window_id"
+#: Rounds of PageRank and HITS before their tolerance is asked for.
+LEAST_ROUNDS = 20
 
 
 class Graph:
@@ -59,11 +61,19 @@ def fits(edges: DataFrame, config: Config = DEFAULT) -> bool:
     return edges.groupBy(W).count().where(F.col("count") > config.local_edges).isEmpty()
 
 
+def not_reached(what: str, rounds: int, window: int | None = None) -> RuntimeError:
+    return RuntimeError(f"{what} didn't reach its tolerance in {rounds} rounds" + ("" if window is None else f" in window {window}"))
+
+
 # PageRank.
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str = "volume", name: str = "pagerank", rounds: int = 20, config: Config = DEFAULT, local: bool | None = None) -> DataFrame:
-    """Weighted PageRank after a fixed number of rounds; rank of entities without weighted edges is spread evenly."""
+def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str = "volume", name: str = "pagerank", rounds: int | None = None, config: Config = DEFAULT, local: bool | None = None) -> DataFrame:
+    """Weighted PageRank; rank of entities without weighted edges is spread evenly.
+
+    Iterates until a round changes a window's ranks by less than ``Config.pagerank_tolerance`` times its entities in
+    sum; raises if ``Config.pagerank_rounds`` don't reach that. ``rounds`` asks for just so many instead.
+    """
     if fits(edges, config) if local is None else local:
 
         def one(window: int, part: pd.DataFrame) -> pd.DataFrame:
@@ -71,9 +81,14 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str = "volume", name
             out = np.bincount(g.s, g.w, g.n)
             share = np.divide(g.w, out[g.s], out=np.zeros(len(g.s)), where=out[g.s] > 0)
             r = np.full(g.n, 1 / g.n)
-            for _ in range(rounds):
+            for k in range(config.pagerank_rounds if rounds is None else rounds):
                 flow = np.bincount(g.t, r[g.s] * share, g.n)
-                r = alpha * (flow + r[out == 0].sum() / g.n) + (1 - alpha) / g.n
+                r, before = alpha * (flow + r[out == 0].sum() / g.n) + (1 - alpha) / g.n, r
+                if rounds is None and k + 1 >= LEAST_ROUNDS and np.abs(r - before).sum() < config.pagerank_tolerance * g.n:
+                    break
+            else:
+                if rounds is None:
+                    raise not_reached("PageRank", config.pagerank_rounds, window)
             return g.frame(window, **{name: r})
 
         return per_window(edges, one, f"{name} double")
@@ -85,7 +100,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str = "volume", name
     sizes = nodes.groupBy(W).agg(F.count("*").alias("n"))
     nodes = durable(nodes.join(sizes, W))
     ranks = nodes.select(W, "entity_id", "n", (1 / F.col("n")).alias("rank"))
-    for k in range(rounds):
+    for k in range(config.pagerank_rounds if rounds is None else rounds):
+        before = ranks
         flow = ranks.withColumnRenamed("entity_id", "source").join(shares, [W, "source"]).groupBy(W, F.col("target").alias("entity_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         # ranks add up to 1, so what didn't flow was on entities without weighted edges: the ranks are read once a round
         lost = flow.groupBy(W).agg((1 - F.sum("flow")).alias("lost"))
@@ -94,23 +110,40 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str = "volume", name
         ranks = joined.select(W, "entity_id", "n", rank.alias("rank"))
         if k % 4 == 3:
             ranks = durable(ranks)
+            if rounds is None and k + 1 >= LEAST_ROUNDS:
+                moved = ranks.join(before.select(W, "entity_id", F.col("rank").alias("before")), [W, "entity_id"]).groupBy(W, "n").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"))
+                if moved.where(F.col("moved") >= config.pagerank_tolerance * F.col("n")).isEmpty():
+                    break
+    else:
+        if rounds is None:
+            raise not_reached("PageRank", config.pagerank_rounds)
     return ranks.select(W, "entity_id", F.col("rank").alias(name))
 
 
 # Hubs and authorities.
 
 
-def hits(edges: DataFrame, rounds: int = 20, config: Config = DEFAULT, local: bool | None = None) -> DataFrame:
-    """hits_hub and hits_auth on unweighted edges, each adding up to 1 in a window."""
+def hits(edges: DataFrame, rounds: int | None = None, config: Config = DEFAULT, local: bool | None = None) -> DataFrame:
+    """hits_hub and hits_auth on unweighted edges, each adding up to 1 in a window.
+
+    Iterates until a round changes a window's hub scores by less than ``Config.hits_tolerance`` in sum; raises if
+    ``Config.hits_rounds`` don't reach that. ``rounds`` asks for just so many instead.
+    """
     if fits(edges, config) if local is None else local:
 
         def one(window: int, part: pd.DataFrame) -> pd.DataFrame:
             g = Graph(part)
             hub = np.full(g.n, 1 / g.n)
-            for _ in range(rounds):
+            for k in range(config.hits_rounds if rounds is None else rounds):
+                before = hub
                 auth = np.bincount(g.t, hub[g.s], g.n)
                 hub = np.bincount(g.s, auth[g.t], g.n)
                 auth, hub = auth / auth.sum(), hub / hub.sum()
+                if rounds is None and k + 1 >= LEAST_ROUNDS and np.abs(hub - before).sum() < config.hits_tolerance:
+                    break
+            else:
+                if rounds is None:
+                    raise not_reached("HITS", config.hits_rounds, window)
             return g.frame(window, hits_hub=hub, hits_auth=auth)
 
         return per_window(edges, one, "hits_hub double, hits_auth double")
@@ -122,9 +155,17 @@ def hits(edges: DataFrame, rounds: int = 20, config: Config = DEFAULT, local: bo
 
     hub = nodes.withColumn("x", F.lit(1.0))
     auth = hub
-    for _ in range(rounds):
+    for k in range(config.hits_rounds if rounds is None else rounds):
+        before = hub
         auth = durable(e.join(hub.withColumnRenamed("entity_id", "source"), [W, "source"]).groupBy(W, F.col("target").alias("entity_id")).agg(F.sum("x").alias("x")))
         hub = durable(scaled(e.join(auth.withColumnRenamed("entity_id", "target"), [W, "target"]).groupBy(W, F.col("source").alias("entity_id")).agg(F.sum("x").alias("x"))))
+        if rounds is None and k + 1 >= LEAST_ROUNDS:
+            moved = hub.join(before.withColumnRenamed("x", "before"), [W, "entity_id"]).groupBy(W).agg(F.sum(F.abs(F.col("x") - F.col("before"))).alias("moved"))
+            if moved.where(F.col("moved") >= config.hits_tolerance).isEmpty():
+                break
+    else:
+        if rounds is None:
+            raise not_reached("HITS", config.hits_rounds)
     auth = scaled(auth)
     both = nodes.join(hub.withColumnRenamed("x", "hits_hub"), [W, "entity_id"], "left").join(auth.withColumnRenamed("x", "hits_auth"), [W, "entity_id"], "left")
     return both.fillna(0.0, ["hits_hub", "hits_auth"])

@@ -70,6 +70,13 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return durable(evaluate.long_scores(n, list(SCORES)))
 
 
+def all_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores of profiles and those of the graph."""
+    columns = list(dict.fromkeys([*SCORES, *features.TOPOLOGICAL]))
+    n = rounded(feature_table(spark, sf), **{c: d for c, d in SCORES.items() if d})
+    return durable(evaluate.long_scores(n, columns))
+
+
 def members(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
     """Entities of the graph with their component and label."""
     rows = resolved(spark, sf)
@@ -305,7 +312,7 @@ def leiden_micro(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return features.extract(nodes(spark, sf), edges(spark, sf), cycle_length=3)
+    return features.extract(nodes(spark, sf), edges(spark, sf))
 
 
 # Evaluation.
@@ -326,6 +333,9 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.average_precision(scores(spark, sf)), average_precision=6)
 
 
+# The names that end in _all have every K and the scores of the graph; the others keep to those of their SQL.
+
+
 @query
 def ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
     m = evaluate.ranking_metrics(scores(spark, sf), (1, 10, 100))
@@ -344,6 +354,24 @@ def heuristic_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
 
 
+@query
+def ranking_metrics_all(spark: SparkSession, sf: str) -> DataFrame:
+    m = evaluate.ranking_metrics(all_scores(spark, sf), DEFAULT.top_k)
+    return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
+
+
+@query
+def metric_summary_all(spark: SparkSession, sf: str) -> DataFrame:
+    m = reports.metric_summary(evaluate.ranking_metrics(all_scores(spark, sf), DEFAULT.top_k))
+    return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
+
+
+@query
+def heuristic_metrics_all(spark: SparkSession, sf: str) -> DataFrame:
+    m = evaluate.heuristic_metrics(all_scores(spark, sf))
+    return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
+
+
 @query
 def heuristic_stats(spark: SparkSession, sf: str) -> DataFrame:
     m = evaluate.heuristic_stats(evaluate.heuristic_metrics(scores(spark, sf)))
@@ -468,16 +496,11 @@ def cycle_lift(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.cycle_lift(_motif_features(spark, sf)), cycle_fraud_rate=6, cycle_lift=6)
 
 
-# Models. Few and shallow trees keep the queries short; the operators' own defaults are larger.
-
-
-def _small_model():
-    from ledgerloom.models.boosting import Params
-
-    return Params(trees=20, depth=3)
+# Models.
 
 
 MODEL_COLUMNS = [c for c in features.BEHAVIOURAL if c != "flow_ratio"] + ["degree", "in_degree", "out_degree", "temporal_fan_out_count", "temporal_fan_in_count"]
+ALL_COLUMNS = [*features.BEHAVIOURAL, *features.TOPOLOGICAL]
 
 
 @query
@@ -485,7 +508,7 @@ def forward_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Each window scored by a model of the windows before it."""
     from ledgerloom.models import forward
 
-    return forward.forward_chain(nodes(spark, sf), MODEL_COLUMNS, _small_model())
+    return forward.forward_chain(durable(feature_table(spark, sf)), ALL_COLUMNS)
 
 
 @query
@@ -499,22 +522,22 @@ def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Mean absolute attributions of the forward-chained models."""
     from ledgerloom.models import forward
 
-    return forward.importance(nodes(spark, sf), MODEL_COLUMNS, _small_model())
+    return forward.importance(durable(feature_table(spark, sf)), ALL_COLUMNS)
 
 
 @query
 def cascade_predictions(spark: SparkSession, sf: str) -> DataFrame:
     from ledgerloom.models import forward
 
-    return forward.cascade(nodes(spark, sf), MODEL_COLUMNS, _small_model())
+    return forward.cascade(durable(feature_table(spark, sf)), ALL_COLUMNS)
 
 
 @query
 def undersample(spark: SparkSession, sf: str) -> DataFrame:
-    """All flagged rows, and twice as many others."""
+    """All flagged rows, and twenty times as many others."""
     from ledgerloom.models import forward
 
-    return forward.undersample(nodes(spark, sf), ratio=2).select("window_id", "entity_id", "is_fraud")
+    return forward.undersample(nodes(spark, sf)).select("window_id", "entity_id", "is_fraud")
 
 
 @query

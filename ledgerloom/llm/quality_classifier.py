@@ -1,15 +1,17 @@
 """Quality classifier: support vectors over naive Bayes features.
 
-Features are indicators of n-grams: words, and pairs and triples of word shapes
-(case, digits, attached punctuation, equal to the word before). Each indicator
+Features are indicators of n-grams: words, pairs of neighbouring words, and pairs
+and triples of word shapes (case, digits, attached punctuation, equal to the word
+before). Each indicator
 is scaled by the log-count ratio of its feature between the classes, vectors are
 brought to unit length, and a linear model with hinge loss is fitted by dual
 coordinate descent on a bounded sample of labelled documents (``SAMPLE``).
 Margins of cross-fitted models give a sigmoid that turns margins into scores.
 
-Null and empty texts have no features and get the score of a zero margin.
+Null and empty texts have no features and get the score of a model's bias alone.
 Without labels of both classes every score is the share of label 1, or 0.5.
-Repeated rows give repeated results.
+Repeated rows give repeated results, an empty table an empty one; texts of any
+length are read whole, and a word's features don't depend on other documents.
 """
 
 from __future__ import annotations
@@ -25,16 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_arrow, raw, slices
-from ledgerloom.llm.labelled import fit_sigmoid, held_out, labelled_sample
+from ledgerloom.llm.labelled import fit_sigmoid, held_out, labelled_features, ragged
 
 #: Labelled documents to fit on at most.
 SAMPLE = 8192
 THRESHOLD = 0.3
-WORD_BUCKETS, TRIPLE_BUCKETS = 1 << 18, 1 << 16
+WORD_BUCKETS, WORD_PAIR_BUCKETS, TRIPLE_BUCKETS = 1 << 18, 1 << 18, 1 << 16
 SHAPES = 128
 #: Words whose features a task remembers.
 CACHE_WORDS = 500_000
-PAIRS = WORD_BUCKETS
+WORD_PAIRS = WORD_BUCKETS
+PAIRS = WORD_PAIRS + WORD_PAIR_BUCKETS
 TRIPLES = PAIRS + SHAPES * SHAPES
 FEATURES = TRIPLES + TRIPLE_BUCKETS
 
@@ -84,11 +87,12 @@ class Extractor:
         for w in fresh:
             known[w] = (zlib.crc32(w.lower()) & (WORD_BUCKETS - 1)) << 6 | shape(w)
         codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        shapes = codes & 63
+        names, shapes = codes >> 6, codes & 63
         shapes[1:][codes[1:] == codes[:-1]] += 64
         pairs = shapes[:-1] * SHAPES + shapes[1:]
         triples = (pairs[:-1] * SHAPES + shapes[2:]) * 2654435761 >> 7 & (TRIPLE_BUCKETS - 1)
-        return np.unique(np.concatenate((codes >> 6, PAIRS + pairs, TRIPLES + triples)))
+        neighbours = (names[:-1] * 1_000_003 + names[1:]) * 2654435761 >> 9 & (WORD_PAIR_BUCKETS - 1)
+        return np.unique(np.concatenate((names, WORD_PAIRS + neighbours, PAIRS + pairs, TRIPLES + triples)))
 
 
 class Model:
@@ -156,28 +160,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray, folds: int = 3) -> Model:
     return Model((w * r).astype(np.float32), (r**2).astype(np.float32), bias, fit_sigmoid(margins, y), None)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = Extractor()
-        for batch in batches:
-            for part in slices(batch):
-                found = [extract.features(x).astype(np.int32) for x in raw(part.column("text"))]
-                yield pa.record_batch({"key": part.column("key"), "label": part.column("label"), "features": pa.array(found, pa.list_(pa.int32()))})
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
+    def extract():
+        own = Extractor()
+        return lambda data: {"features": own.features(data).astype(np.int32)}
 
-    rows = labelled_sample(docs, labels, label, sample)
-    kind = rows.schema["key"].dataType.simpleString()
-    table = map_arrow(rows, run, f"key {kind}, label int, features array<int>").toArrow()
-    flat = table.column("features").combine_chunks()
-    offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy().astype(np.int64)
-    key = table.column("key").to_pylist()
-    order = sorted(range(len(key)), key=lambda i: (key[i], offsets[i + 1] - offsets[i]))
-    y = table.column("label").to_numpy().astype(np.int64)[order] if order else np.empty(0, np.int64)
-    return fit([values[offsets[i] : offsets[i + 1]] for i in order], y)
+    table = labelled_features(docs, labels, label, sample, extract, {"features": pa.list_(pa.int32())}, key, text)
+    start, values = ragged(table, "features")
+    return fit([values[a:b] for a, b in zip(start, start[1:])], table.column("label").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, sample, key, text))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), evidence=False)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

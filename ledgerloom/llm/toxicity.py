@@ -1,19 +1,25 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents (``EXAMPLES``). Terms are
-words and word beginnings; those that depend on the label by a chi-squared test
-on the sample make up the vocabulary. Examples and documents are TF-IDF vectors
-over it. The examples' inverted index is cut into blocks; for each term and
-block the largest weight is known, which bounds the cosine of every example in a
-block. A search takes the blocks in the order of their bounds and ends when no
-block left can hold a nearer example, so the nearest are exact. Their votes,
-weighted by closeness, are turned into a score by a sigmoid fitted on the
-examples, each with itself left out.
-
-Documents without a term of the vocabulary (empty and null texts too) get the
-share of label 1 among such examples. Without labelled examples every score is
-0.5. Of examples as similar as the last of the nearest all vote, so no order
-decides. Repeated rows give repeated results.
+Examples are a bounded sample of labelled documents (``EXAMPLES``). All their
+words are terms. Examples and documents are vectors of term frequency times
+inverse document frequency times what the term says about the label: its
+information gain among the examples, as a share of the label's entropy, plus
+``FLOOR``, so that every term counts and alike texts are near each other where
+no term tells the labels apart. (Without the gain the nearest examples are those
+of the same topic, whatever their label.)
+
+The examples' inverted index is cut into blocks; for each term and block the
+largest weight is known, which bounds the cosine of every example in a block. A
+search scores the blocks with the highest bounds, then all blocks whose bound
+reaches the worst of the nearest so far, so the nearest are exact. Their votes,
+weighted by closeness, become a score by a sigmoid, fitted on votes that each
+part of the examples gets from an index of the others.
+
+Documents without any known word (empty and null texts too) get the share of
+label 1 among such examples. Without labelled examples every score is 0.5. Of
+examples as similar as the last of the nearest all vote, so no order decides,
+and all that vote are evidence. Repeated rows give repeated results, an empty
+table an empty one; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -29,242 +35,262 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, map_arrow, slices, texts
-from ledgerloom.llm.labelled import fit_sigmoid, held_out, labelled_sample
+from ledgerloom.llm.common import map_arrow, slices, texts
+from ledgerloom.llm.labelled import fit_sigmoid, held_out, labelled_features, ragged
 
-#: Labelled examples in the index at most, and terms in the vocabulary.
-EXAMPLES, TERMS = 8192, 4096
-BLOCK, NEIGHBOURS = 64, 15
+#: Labelled examples in the index at most.
+EXAMPLES = 4096
+BLOCK, NEIGHBOURS = 128, 15
+#: Blocks that a search scores before it has a bound.
+FIRST_BLOCKS = 4
+#: The weight of a term that says nothing about the label, against 1 for one that says all.
+FLOOR = 0.003
 #: Cosines this close are ties.
 TIE = 1e-9
-#: So many terms are tested that rare ones reach lower values by chance: at a share of 0.1, five documents of one label in a row reach 40.
-LEAST_CHI2, LEAST_DOCS = 40.0, 5
-BEGINNINGS = (4, 5, 6, 7, 8)
+#: Parts of the examples for the sigmoid.
+PARTS = 4
 CACHE_WORDS = 500_000
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(word: str) -> list[int]:
-    """The word's beginnings from short to long, and the word, as 63-bit hashes."""
-    names = [*(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n), f"={word}"]
-    return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in names]
-
-
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class Vectors:
-    """Term frequencies over a vocabulary, word by word, with a memory of recent words."""
+def term(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
 
-    def __init__(self, vocabulary: dict[int, int]) -> None:
-        self.vocabulary = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str) -> Counter[int]:
-        found, known = words(text), self.known
-        fresh = set(found).difference(known)
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = set(found)
-        at = self.vocabulary.get
-        for w in fresh:
-            known[w] = tuple(i for t in terms(w) if (i := at(t)) is not None)
-        return Counter(i for some in map(known.__getitem__, found) if some for i in some)
+class Bags:
+    """Examples as bags of terms: those of example i are terms[start[i] : start[i + 1]], ascending, with counts."""
+
+    def __init__(self, keys: list, labels: np.ndarray, start: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.labels, self.start, self.terms, self.counts = keys, np.asarray(labels, float), start, terms, counts
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def take(self, rows: np.ndarray) -> Bags:
+        at = spread(self.start[rows], self.start[rows + 1] - self.start[rows])
+        return Bags([self.keys[i] for i in rows.tolist()], self.labels[rows], np.concatenate(([0], np.cumsum(np.diff(self.start)[rows]))), self.terms[at], self.counts[at])
+
+    def bag(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.start[i], self.start[i + 1])
+        return self.terms[part], self.counts[part]
+
+
+def spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of several ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + sizes, sizes)
+
+
+def _entropy(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of a and b of two kinds, in bits."""
+    n = np.maximum(a + b, 1e-300)
+    p, q = a / n, b / n
+    return -(p * np.log2(np.where(p > 0, p, 1)) + q * np.log2(np.where(q > 0, q, 1)))
 
 
 class Index:
-    """Examples in blocks, with the largest weight of each term in each block."""
-
-    def __init__(self, keys: list, labels: list[int], counts: list[dict[int, int]], size: int) -> None:
-        df = np.zeros(size)
-        for c in counts:
-            df[list(c)] += 1
-        self.idf = np.log((len(counts) + 1) / (df + 1)) + 1
-        vectors = [self.vector(c) for c in counts]
-        # alike examples into the same block: by their weightiest term
-        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), keys[i]))
-        self.keys, self.labels = [keys[i] for i in order], np.array([labels[i] for i in order], np.float64)
+    """Examples in blocks. Postings lie by term, then block, then place; an entry is a term's postings in one block."""
+
+    def __init__(self, bags: Bags) -> None:
+        sizes = np.diff(bags.start)
+        doc = np.repeat(np.arange(len(bags)), sizes)
+        self.vocabulary, at = np.unique(bags.terms, return_inverse=True)
+        self.df = np.bincount(at, minlength=len(self.vocabulary))
+        self.weigh(bags, doc, at)
+        w = (1 + np.log(bags.counts)) * self.term_weight[at]
+        norm = np.sqrt(np.bincount(doc, w * w, len(bags)))
+        w = w / norm[doc]
+        # alike examples into the same block: ordered by their most frequent terms
+        rank = np.empty(len(self.df), np.int64)
+        rank[np.lexsort((self.vocabulary, -self.df))] = np.arange(len(self.df))
+        first = [np.sort(rank[at[a:b]])[:8].tolist() for a, b in zip(bags.start, bags.start[1:])]
+        order = sorted(np.flatnonzero(sizes > 0).tolist(), key=lambda i: (first[i], bags.keys[i]))
+        self.keys, self.labels = [bags.keys[i] for i in order], bags.labels[order]
         self.blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((size, self.blocks), np.float64)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        for place, i in enumerate(order):
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                lists[t].append((place, w))
-                self.most[t, place // BLOCK] = max(self.most[t, place // BLOCK], w)
-        self.places = [np.array([p for p, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.starts = [np.searchsorted(p, np.arange(self.blocks + 1) * BLOCK) for p in self.places]
-        empty = [labels[i] for i, (t, _) in enumerate(vectors) if not len(t)]
-        self.base = float(np.mean(labels)) if labels else 0.5
-        self.empty = (sum(empty) + self.base) / (len(empty) + 1)
-        self.sigmoid = (0.0, 0.0)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t] if len(t) else np.empty(0)
+        place = np.full(len(bags), -1, np.int64)
+        place[order] = np.arange(len(order))
+        by = np.lexsort((place[doc], at))
+        self.place, self.weight = place[doc][by].astype(np.int32), w[by]
+        owner, block = at[by], self.place // BLOCK
+        begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))) if len(by) else np.empty(0, np.int64)
+        self.entry_start = np.append(begin, len(by)).astype(np.int32)
+        self.entry_block = block[begin].astype(np.int32)
+        self.entry_most = np.maximum.reduceat(self.weight, begin) if len(begin) else self.weight
+        self.term_start = np.searchsorted(owner[begin], np.arange(len(self.df) + 1)).astype(np.int32)
+        empty = bags.labels[sizes == 0]
+        self.base = float(bags.labels.mean()) if len(bags) else 0.5
+        self.empty = (float(empty.sum()) + self.base) / (len(empty) + 1)
+        self.sigmoid: tuple[float, float] | None = None
+
+    def weigh(self, bags: Bags, doc: np.ndarray, at: np.ndarray) -> None:
+        """Each term's weight. Copies of an example count once, else what they happen to share would look like a mark of their label."""
+        seen, once = set(), np.zeros(len(bags), bool)
+        for i in range(len(bags)):
+            t, c = bags.bag(i)
+            mark = (bags.labels[i], t.tobytes(), c.tobytes())
+            once[i] = mark not in seen
+            seen.add(mark)
+        n, pos = float(once.sum()), float((bags.labels * once).sum())
+        n1 = np.bincount(at, (bags.labels * once)[doc], len(self.df))
+        df = np.bincount(at, once[doc].astype(float), len(self.df))
+        whole = _entropy(np.array([pos]), np.array([n - pos]))[0] if n else 0.0
+        rest = (df * _entropy(n1, df - n1) + (n - df) * _entropy(pos - n1, n - df - (pos - n1))) / max(n, 1.0)
+        gain = np.maximum(0.0, (whole - rest) / whole) if whole > 0 else np.zeros(len(df))
+        self.term_weight = (np.log((n + 1) / (df + 1)) + 1) * (FLOOR + gain)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (ascending) and weights, of unit length, of the terms that the index knows."""
+        if not len(self.vocabulary) or not len(terms):
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == terms
+        return self.scaled(at[hit], counts[hit])
+
+    def scaled(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.term_weight[t]
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the k nearest examples with a positive cosine, and of all as near as the last of them; nearest first."""
-        bounds = w @ self.most[t]
-        best: list[tuple[float, int]] = []
-        floor = 0.0
-        pairs = list(zip(t.tolist(), w.tolist()))
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < floor:
-                break
-            sums = np.zeros(BLOCK)
-            for term, weight in pairs:
-                lo, hi = self.starts[term][b], self.starts[term][b + 1]
-                if lo < hi:
-                    sums[self.places[term][lo:hi] - b * BLOCK] += weight * self.weights[term][lo:hi]
-            near = np.flatnonzero((sums > 0) & (sums >= floor))
-            best += [(float(sums[i]), b * BLOCK + i) for i in near.tolist() if b * BLOCK + i != without]
-            if len(best) > k:
-                best.sort(key=lambda x: (-x[0], x[1]))
-                floor = best[k - 1][0] - TIE
-                while best[-1][0] < floor:
-                    best.pop()
-        return sorted(best, key=lambda x: (-x[0], x[1]))
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines, nearest first, of the k nearest examples with a positive cosine and of all as near as the last of them."""
+        begin = self.term_start[t]
+        sizes = self.term_start[t + 1] - begin
+        entry, weight = spread(begin, sizes), np.repeat(w, sizes)
+        block = self.entry_block[entry]
+        bounds = np.bincount(block, weight * self.entry_most[entry], self.blocks) * (1 + 1e-9)
+        first = bounds >= (np.partition(bounds, -FIRST_BLOCKS)[-FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else 0)
+        sums = self._sums(entry, weight, first[block])
+        floor = self._floor(sums, k)
+        more = (bounds >= floor) & ~first
+        if more.any():
+            sums += self._sums(entry, weight, more[block])
+            floor = self._floor(sums, k)
+        near = np.flatnonzero((sums > 0) & (sums >= floor))
+        near = near[np.lexsort((near, -sums[near]))]
+        return near, sums[near]
+
+    def _sums(self, entry: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """The cosine of every example in the blocks of the chosen entries; 0 elsewhere."""
+        entry, weight = entry[chosen], weight[chosen]
+        begin = self.entry_start[entry]
+        sizes = self.entry_start[entry + 1] - begin
+        at = spread(begin, sizes)
+        return np.bincount(self.place[at], self.weight[at] * np.repeat(weight, sizes), len(self.keys))
+
+    @staticmethod
+    def _floor(sums: np.ndarray, k: int) -> float:
+        return float(np.partition(sums, -k)[-k]) - TIE if len(sums) > k else 0.0
+
+    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Votes of the neighbours by 1 / (distance + 0.1), with one vote of the base rate at distance 1."""
-        weights = [1 / (1.1 - min(1.0, s)) for s, _ in near]
-        prior = 1 / 1.1
-        return (sum(v * self.labels[p] for v, (_, p) in zip(weights, near)) + prior * self.base) / (sum(weights) + prior)
-
-    def calibrate(self, counts: list[dict[int, int]], keys: list, labels: list[int]) -> None:
-        place = {k: p for p, k in enumerate(self.keys)}
-        x, y = [], []
-        for key, label, c in zip(keys, labels, counts):
-            if c:
-                x.append(self.vote(self.nearest(*self.vector(c), without=place[key])))
-                y.append(label)
-        if len(set(y)) == 2:
-            self.sigmoid = fit_sigmoid(x, y)
-        else:
-            self.sigmoid = None
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        if not counts:
-            return self.empty, []
-        near = self.nearest(*self.vector(counts))
-        vote = self.vote(near)
+        weights, prior = 1 / (1.1 - np.minimum(1.0, cosine)), 1 / 1.1
+        return float(((weights * self.labels[near]).sum() + prior * self.base) / (weights.sum() + prior))
+
+    def score(self, t: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        if not len(t):
+            return self.empty, np.empty(0, np.int64), np.empty(0)
+        near, cosine = self.nearest(t, w)
+        vote = self.vote(near, cosine)
         if self.sigmoid is None:
-            return vote, near
+            return vote, near, cosine
         a, b = self.sigmoid
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, a * vote + b)))), near
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, a * vote + b)))), near, cosine
 
 
-def vocabulary(sample: DataFrame) -> dict[int, int]:
-    """The terms that depend most on the label, by chi-squared over the sample."""
+def calibration(bags: Bags) -> tuple[float, float] | None:
+    """The sigmoid from votes to scores; each part of the examples is voted on by an index of the others."""
+    x, y = [], []
+    part = np.arange(len(bags)) % PARTS
+    for p in range(PARTS):
+        others, own = np.flatnonzero(part != p), np.flatnonzero(part == p)
+        if not len(own) or len(set(bags.labels[others])) < 2:
+            continue
+        index = Index(bags.take(others))
+        for i in own.tolist():
+            t, w = index.vector(*bags.bag(i))
+            if len(t):
+                x.append(index.vote(*index.nearest(t, w)))
+                y.append(bags.labels[i])
+    return fit_sigmoid(x, y) if len(set(y)) == 2 else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, known, above = (Counter(), Counter()), [0, 0], {}, {}
-        for batch in batches:
-            for part in slices(batch):
-                for label, text in zip(part.column("label").to_pylist(), texts(part.column("text"))):
-                    n[label] += 1
-                    found = set()
-                    for w in set(words(text)):
-                        if w not in known:
-                            known[w] = chain = terms(w)
-                            above.update(zip(chain[1:], chain))
-                        found.update(known[w])
-                    counts[label].update(found)
-                    if len(known) > CACHE_WORDS:
-                        known = {}
-        every = list(counts[0].keys() | counts[1].keys())
-        yield pa.record_batch({
-            "term": pa.array([-1, *every], pa.int64()),
-            "above": pa.array([-1, *(above.get(t, -1) for t in every)], pa.int64()),
-            "n0": pa.array([n[0], *(counts[0][t] for t in every)], pa.int64()),
-            "n1": pa.array([n[1], *(counts[1][t] for t in every)], pa.int64()),
-        })
-
-    # copies of a text count once, else what they happen to share would look like a mark of their label
-    distinct = sample.select("label", "text").dropDuplicates()
-    counts = map_arrow(distinct, run, "term long, above long, n0 long, n1 long").groupBy("term").agg(F.max("above").alias("above"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = cut(counts)
-    total = counts.where("term = -1").first()
-    if not total or not total.n0 or not total.n1:
-        return {}
-    a, c = F.col("n1").cast("double"), F.col("n0").cast("double")
-    b, d = F.lit(float(total.n1)) - a, F.lit(float(total.n0)) - c
-    chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * F.greatest(b + d, F.lit(1e-9)))
-    tested = counts.where("term >= 0").where(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    top = tested.orderBy(F.desc("chi2"), F.desc("n1"), "term").limit(TERMS).collect()
-    return {t: i for i, t in enumerate(sorted(best_of_chains([(r.term, r.above) for r in top])))}
-
-
-def best_of_chains(ranked: list[tuple[int, int]]) -> set[int]:
-    """Of a word and its beginnings the one that says most: a term goes if one above or below it in its chain ranks before it.
-
-    ranked: (term, the next shorter beginning or -1), best first.
-    """
-    above, kept, over = dict(ranked), set(), set()
-    for term, _ in ranked:
-        line = [term]
-        while (up := above.get(line[-1], -1)) >= 0:
-            line.append(up)
-        if term not in over and kept.isdisjoint(line):
-            kept.add(term)
-            over.update(line)
-    return kept
-
-
-def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> tuple[Index, dict[int, int]]:
-    sample = labelled_sample(docs, labels, label, examples)
-    known = vocabulary(sample)
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-    kind = sample.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(sent.value)
-        for batch in batches:
-            for part in slices(batch):
-                found = [vectors.counts(x) for x in texts(part.column("text"))]
-                yield pa.record_batch({"key": part.column("key"), "label": part.column("label"), "terms": pa.array([list(c) for c in found], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))})
-
-    rows = map_arrow(sample, run, f"key {kind}, label int, terms array<int>, n array<int>").toArrow().to_pylist()
-    by_key = {r["key"]: r for r in sorted(rows, key=lambda r: sorted(zip(r["terms"], r["n"])))}  # one row for each key
-    rows = [by_key[k] for k in sorted(by_key)]
-    counts = [dict(zip(r["terms"], r["n"])) for r in rows]
-    keys, marks = [r["key"] for r in rows], [r["label"] for r in rows]
-    index = Index(keys, marks, counts, max(1, len(known)))
-    index.calibrate(counts, keys, marks)
-    return index, known
-
-
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, score, predicted, and evidence: the nearest examples as array<struct<key, label, similarity>>."""
-    sent = docs.sparkSession.sparkContext.broadcast(build(docs, labels, label, examples))
+def examples(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = EXAMPLES, key: str = "doc_id", text: str = "text") -> Bags:
+    def extract():
+        def bag(data: bytes) -> dict:
+            counts = Counter(map(term, words(data.decode())))
+            found = sorted(counts)
+            return {"terms": found, "counts": [counts[t] for t in found]}
+
+        return bag
+
+    table = labelled_features(docs, labels, label, limit, extract, {"terms": pa.list_(pa.int64()), "counts": pa.list_(pa.int32())}, key, text)
+    start, found = ragged(table, "terms")
+    return Bags(table.column("key").to_pylist(), table.column("label").to_numpy(), start, found, ragged(table, "counts")[1])
+
+
+def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = EXAMPLES, key: str = "doc_id", text: str = "text") -> Index:
+    bags = examples(docs, labels, label, limit, key, text)
+    index = Index(bags)
+    index.sigmoid = calibration(bags)
+    return index
+
+
+class Reader:
+    """Texts to vectors of an index, with a memory of recent words."""
+
+    def __init__(self, index: Index) -> None:
+        self.index, self.known = index, {}
+
+    def vectors(self, whole: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        split, known, vocabulary = [words(x) for x in whole], self.known, self.index.vocabulary
+        fresh = list(set().union(*split).difference(known))
+        if len(known) + len(fresh) > CACHE_WORDS:
+            known.clear()
+            fresh = list(set().union(*split))
+        if fresh:
+            terms = np.fromiter(map(term, fresh), np.int64, len(fresh))
+            at = np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))
+            hit = vocabulary[at] == terms if len(vocabulary) else np.zeros(len(fresh), bool)
+            known.update(zip(fresh, np.where(hit, at, -1).tolist()))
+        for found in split:
+            t, n = np.unique(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), return_counts=True)
+            inside = t >= 0
+            yield self.index.scaled(t[inside], n[inside])
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = EXAMPLES, key: str = "doc_id", text: str = "text", evidence: bool = True) -> DataFrame:
+    """key, held_out, score, predicted, and with ``evidence`` the examples that voted: array<struct<key, label, similarity>>, nearest first."""
+    sent = docs.sparkSession.sparkContext.broadcast(build(docs, labels, label, limit, key, text))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = sent.value
-        vectors, memory = Vectors(known), {}
+        index = sent.value
+        reader, memory = Reader(index), {}
         for batch in batches:
             for part in slices(batch, text):
                 found = []
-                for x in texts(part.column(text)):
-                    counts = vectors.counts(x)
-                    at = frozenset(counts.items())
+                for t, w in reader.vectors(texts(part.column(text))):
+                    at = (t.tobytes(), w.tobytes())
                     if at not in memory:
-                        if len(memory) > 20_000:
+                        if len(memory) > 4096:
                             memory.clear()
-                        memory[at] = index.score(counts)
+                        memory[at] = index.score(t, w)
                     found.append(memory[at])
-                evidence = [[{"key": index.keys[p], "label": int(index.labels[p]), "similarity": s} for s, p in near[:NEIGHBOURS]] for _, near in found]
-                yield pa.record_batch({
+                cols = {
                     key: part.column(key),
                     "held_out": part.column("held_out"),
-                    "score": pa.array([s for s, _ in found], pa.float64()),
-                    "predicted": pa.array([int(s >= THRESHOLD) for s, _ in found], pa.int32()),
-                    "evidence": pa.array(evidence, pa.list_(pa.struct([("key", part.column(key).type), ("label", pa.int32()), ("similarity", pa.float64())]))),
-                })
-
-    return map_arrow(docs.select(key, held_out(F.col(key)).alias("held_out"), text), run, f"`{key}` {kind}, held_out boolean, score double, predicted int, evidence array<struct<key:{kind},label:int,similarity:double>>")
+                    "score": pa.array([s for s, _, _ in found], pa.float64()),
+                    "predicted": pa.array([int(s >= THRESHOLD) for s, _, _ in found], pa.int32()),
+                }
+                if evidence:
+                    rows = [[{"key": index.keys[p], "label": int(index.labels[p]), "similarity": s} for p, s in zip(near.tolist(), cosine.tolist())] for _, near, cosine in found]
+                    cols["evidence"] = pa.array(rows, pa.list_(pa.struct([("key", part.column(key).type), ("label", pa.int32()), ("similarity", pa.float64())])))
+                yield pa.record_batch(cols)
+
+    more = f", evidence array<struct<key:{kind},label:int,similarity:double>>" if evidence else ""
+    return map_arrow(docs.select(key, held_out(F.col(key)).alias("held_out"), text), run, f"`{key}` {kind}, held_out boolean, score double, predicted int{more}")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontaminate, language, merkle, quality_classifier, quality_rules, secrets, simhash, token_counts, toxicity
 from ledgerloom.llm.common import table
+from ledgerloom.llm.labelled import fit_sigmoid, labelled_features
 from ledgerloom.llm.queries import ORACLES, QUERIES, vocabulary
 from tests.oracle import check
 
@@ -382,31 +384,89 @@ def test_coordinate_descent_reaches_the_optimum():
         assert loss(v + random_.normal(size=31) * 10 ** random_.uniform(-4, 0)) >= base - 1e-3
 
 
-def test_nearest_equal_brute_force():
+def test_toxicity_equals_brute_force(spark):
+    """Examples, weights, cosines, votes and the sigmoid by dictionaries and loops, for the whole query."""
     r = random.Random(5)
-    counts = [{t: r.randint(1, 3) for t in r.sample(range(40), r.randint(0, 6))} for _ in range(700)]
-    labels = [int(0 in c or 1 in c) for c in counts]
-    index = toxicity.Index(list(range(700)), labels, counts, 40)
-    dense = np.zeros((len(index.keys), 40))
-    for p, k in enumerate(index.keys):
-        t, w = index.vector(counts[k])
-        dense[p, t] = w
-    for c in counts[:150]:
-        if c:
-            t, w = index.vector(c)
-            s = dense[:, t] @ w
-            got = index.nearest(t, w)
-            want = np.sort(s[s > 0])[::-1]
-            want = want[want >= want[: toxicity.NEIGHBOURS][-1] - toxicity.TIE] if len(want) else want
-            assert np.allclose([x for x, _ in got], want) and all(abs(s[p] - x) < 1e-9 for x, p in got)
-            assert all(p != 5 for _, p in index.nearest(t, w, without=5))
-
-
-def test_best_of_chains():
-    # 1 is above 2, 2 above 3; 4 stands alone
-    assert toxicity.best_of_chains([(2, 1), (3, 2), (4, -1), (1, -1)]) == {2, 4}
-    assert toxicity.best_of_chains([(1, -1), (3, 2), (2, 1)]) == {1}
-    assert toxicity.best_of_chains([(3, 2), (5, 2), (2, 1), (1, -1)]) == {3, 5}
+    vocabulary_ = [f"w{'abcdefghijklmnopqrst'[i % 20]}{'abcdefghij'[i // 20]}" for i in range(200)]
+    some = lambda n: [vocabulary_[min(199, int(r.expovariate(0.02)))] for _ in range(n)]
+    docs = [(i, " ".join([*some(r.randint(0, 30)), *(["bad"] if i % 7 == 0 else []), *(["Worse"] if i % 21 == 0 else [])])) for i in range(900)]
+    docs += [(900 + i, docs[i][1]) for i in range(0, 60, 3)] + [(990, None), (991, "unseen words only")]
+    labels = [(k, int(k % 7 == 0 and k < 900) if r.random() < 0.95 else 1) for k, _ in docs if k % 3]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.score(d, y).collect()}
+    bag = lambda t: Counter(re.findall(r"[a-z]+", (t or "").lower()))
+    mark, whole = dict(labels), dict(docs)
+    keys = sorted(k for k in mark if zlib.crc32(str(k).encode()) % 5)
+
+    def entropy(a, b):
+        return -sum(x / (a + b) * math.log2(x / (a + b)) for x in (a, b) if x)
+
+    def model(names):
+        once = {(mark[k], tuple(sorted(bag(whole[k]).items()))) for k in names}
+        n, pos = len(once), sum(m for m, _ in once)
+        df, n1 = Counter(t for _, c in once for t, _ in c), Counter(t for m, c in once for t, _ in c if m)
+        h = entropy(pos, n - pos)
+        weight = {}
+        for t in df:
+            rest = df[t] / n * entropy(n1[t], df[t] - n1[t]) + ((n - df[t]) / n * entropy(pos - n1[t], n - df[t] - pos + n1[t]) if n > df[t] else 0)
+            weight[t] = (math.log((n + 1) / (df[t] + 1)) + 1) * (toxicity.FLOOR + max(0, (h - rest) / h))
+
+        def vector(t):
+            w = {k: (1 + math.log(c)) * weight[k] for k, c in bag(t).items() if k in weight}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            return {k: x / norm for k, x in w.items()}
+
+        vectors = {k: vector(whole[k]) for k in names}
+        base = sum(mark[k] for k in names) / len(names)
+
+        def near(t):
+            own = vector(t)
+            s = sorted(((sum(x * v[k] for k, x in own.items() if k in v), k) for k, v in vectors.items()), reverse=True)
+            s = [x for x in s if x[0] > 0]
+            return [x for x in s if x[0] >= s[: toxicity.NEIGHBOURS][-1][0] - 1e-6], own
+
+        def vote(found):
+            w = [1 / (1.1 - min(1, x)) for x, _ in found]
+            return (sum(a * mark[k] for a, (_, k) in zip(w, found)) + base / 1.1) / (sum(w) + 1 / 1.1)
+
+        empty = [mark[k] for k in names if not vectors[k]]
+        return near, vote, (sum(empty) + base) / (len(empty) + 1)
+
+    x, y_ = [], []
+    for p in range(toxicity.PARTS):
+        near, vote, _ = model([k for i, k in enumerate(keys) if i % toxicity.PARTS != p])
+        for k in keys[p :: toxicity.PARTS]:
+            found, own = near(whole[k])
+            if own:
+                x.append(vote(found))
+                y_.append(mark[k])
+    a, b = fit_sigmoid(x, y_)
+    near, vote, empty = model(keys)
+    for k, t in docs[::5] + docs[-22:]:
+        found, own = near(t)
+        want = 1 / (1 + math.exp(-(a * vote(found) + b))) if own else empty
+        assert got[k].score == pytest.approx(want, abs=1e-4), k
+        assert {e.key for e in got[k].evidence} == {j for _, j in found} and bool(found) == bool(own)
+        assert got[k].predicted == int(got[k].score >= 0.5) and got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+
+
+def test_all_that_know_a_word_have_evidence(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = toxicity.score(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect()
+    known = set(toxicity.words(" ".join(r.text or "" for r in docs.join(labels, "doc_id").where("crc32(string(doc_id)) % 5 <> 0").collect())))
+    with_word = [r for r in rows if known.intersection(toxicity.words(r.text or ""))]
+    assert len(with_word) > 100 and all(r.evidence for r in with_word)
+
+
+def test_repeated_labelled_keys_stay_bounded(spark):
+    """One key with 20,000 different texts is one row of the sample, the same one however rows are dealt."""
+    import pyarrow as pa
+
+    docs = spark.range(20_000).selectExpr("0L AS doc_id", "concat('text ', id) AS text").unionAll(spark.range(1, 9).selectExpr("id", "concat('other ', id)"))
+    labels = spark.range(9).selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    take = lambda n: labelled_features(docs.repartition(n), labels, "toxic", 8, lambda: lambda data: {"n": [len(data), *data]}, {"n": pa.list_(pa.int32())})
+    one, many = take(1), take(13)
+    assert len(one) <= 8 and one.to_pylist() == many.to_pylist()
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.85), ("op10_quality_classifier", "quality", 0.9)])

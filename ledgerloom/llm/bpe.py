@@ -1,14 +1,17 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-A first pass over all documents counts pre-tokens and keeps the frequent ones.
-They and their ids are compiled into a deterministic acyclic automaton that
-shares prefixes and suffixes; the sum of the numbers along a word's path is the
-row of its ids. Executors memory-map the file. Words outside the lexicon are
-merged exactly, many at a time: in each step every word of a block replaces its
-leftmost pair of the lowest rank.
+A first pass counts the pre-tokens of all documents, summed in each task and then
+over tasks, and keeps the most frequent ones; how documents are dealt to tasks
+makes no difference. They and their ids are compiled into a deterministic acyclic
+automaton that shares prefixes and suffixes; the sum of the numbers along a
+word's path is the row of its ids. Executors memory-map the file. Words outside
+the lexicon are merged exactly, many at a time: in each step every word of a
+block replaces its leftmost pair of the lowest rank.
 
 Null text counts as empty text: no ids, and the decoded text is empty. Repeated
-rows give repeated results; other columns are ignored.
+rows give repeated results; other columns are ignored. An empty table gives an
+empty lexicon and an empty result. Texts of any length are encoded whole; a word
+of any length is merged in time n log n.
 """
 
 from __future__ import annotations
@@ -36,11 +39,8 @@ from ledgerloom.llm.common import map_arrow, raw, ship, slices
 #: Words in the lexicon at most, and bytes of one.
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 40
-#: A task reports the words that make up at least this share of its own words. A word with that share
-#: of the corpus has it in some task, so a task reports at most its inverse of rows.
-COUNT_SHARE = 1e-5
-#: A task doesn't report words that it has met fewer times than this.
-COUNT_LEAST = 4
+#: Different words that a task counts before it passes the counts on; they are added up later.
+COUNT_WORDS = 500_000
 #: Words remembered by a Python worker, from task to task.
 CACHE_WORDS = 500_000
 #: Words longer than this many bytes are merged one by one with a heap.
@@ -341,26 +341,23 @@ def codec(path: str, name: str) -> Codec:
 
 
 def frequent_words(docs: DataFrame, path: str, text: str = "text", limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent pre-tokens of all documents (ties: smaller bytes first), ascending by bytes."""
+    """The ``limit`` most frequent pre-tokens of all documents of at most LEXICON_BYTES bytes (ties: smaller bytes first), ascending by bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found, total = Codec(merges(path), None), Counter(), 0
+        own, found = Codec(merges(path), None), Counter()
 
         def rows() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in found.items() if n >= max(COUNT_LEAST, COUNT_SHARE * total) and len(w) <= LEXICON_BYTES]
-            return pa.record_batch({"word": pa.array([w for w, _ in kept], pa.binary()), "n": pa.array([n for _, n in kept], pa.int64())})
+            kept = [w for w in found if len(w) <= LEXICON_BYTES]
+            return pa.record_batch({"word": pa.array(kept, pa.binary()), "n": pa.array([found[w] for w in kept], pa.int64())})
 
         for batch in batches:
             for part in slices(batch, text):
                 for data in raw(part.column(text)):
-                    words = own.words(data)
-                    total += len(words)
-                    found.update(words)
-                if len(found) > 2_000_000:  # send what is frequent so far; sums are made of the parts later
+                    found.update(own.words(data))
+                if len(found) > COUNT_WORDS:
                     yield rows()
                     found.clear()
-                    total = 0
-        if total:
+        if found:
             yield rows()
 
     counts = map_arrow(docs.select(text), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -7,9 +7,13 @@ from its rank in the profile, at most the profile's length. The nearest
 profile's language is predicted; the score is the margin to the next one.
 
 Profiles are counted over all documents that may be learned from, summed per
-task and then over tasks. Ties of counts go to the smaller n-gram, ties of
-distances to the smaller language. Null texts and texts without a letter give
-``und`` and the score 0, as do all texts if nothing can be learned from.
+task and then over tasks. Ties of counts go to the shorter n-gram, then to the
+smaller one (a word's edge before any letter), ties of distances to the smaller
+language. Null texts and texts without a letter give ``und`` and the score 0, as
+do all texts if nothing can be learned from. Repeated rows are counted and judged
+each for itself; an empty table gives an empty result. Long texts are counted in
+pieces that carry their last two symbols along, so that pieces count what the
+whole does, wherever they are cut.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import map_arrow, remainder, slices, texts
 
 PROFILE = 300
-#: Longer texts are counted in pieces that end between words.
+#: Longer texts are counted in pieces of so many characters.
 PIECE = 1 << 20
+#: The symbol of a word's edge: no letter, and smaller than any.
+EDGE = 1
 
 
 @functools.cache
@@ -35,40 +41,39 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > PIECE:
-        end = at + PIECE
-        cut = next((i for i in range(end, max(at, end - 1000), -1) if not text[i].isalpha()), end)
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
-def _codes(text: str) -> np.ndarray:
-    """All n-grams of a text as numbers of 21 bits a letter; 0 is a word's edge."""
-    s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    letter = _letters()[s]
-    if not letter.any():
-        return np.empty(0, np.int64)
-    kept = letter.copy()
-    kept[1:] |= letter[:-1]  # one edge behind each word
-    s = np.concatenate(([0], np.where(letter, s, 0)[kept], [0]))
-    one = s[s > 0]
-    two = s[:-1] << 21 | s[1:]
-    two = two[(s[:-1] > 0) | (s[1:] > 0)]
-    three = s[:-2] << 42 | s[1:-1] << 21 | s[2:]
-    return np.concatenate((one, two, three[s[1:-1] > 0]))
+def _pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The symbols of a text: letters, and one edge before, between and behind words. Each piece comes with the number of symbols that lead it and belong to the one before."""
+    low, led = text.lower(), np.array([EDGE])
+    for at in range(0, len(low), PIECE):
+        s = np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        letter = _letters()[s]
+        before = np.concatenate((led[-1:] != EDGE, letter[:-1]))  # whether a letter precedes
+        s = np.where(letter, s, EDGE)[letter | before]
+        if at + PIECE >= len(low) and (s[-1] if len(s) else led[-1]) != EDGE:
+            s = np.append(s, EDGE)
+        if len(s):
+            yield np.concatenate((led, s)), len(led)
+            led = np.concatenate((led, s))[-2:]
+
+
+def _codes(s: np.ndarray, led: int) -> np.ndarray:
+    """All n-grams that end behind the first ``led`` symbols (one or two), as numbers of 21 bits a symbol."""
+    one, middle = s[led:], s[1:-1]
+    two = s[led - 1 : -1] << 21 | one
+    three = s[:-2] << 42 | middle << 21 | s[2:]
+    return np.concatenate((one[one != EDGE], two, three[middle != EDGE]))
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams in ascending order, with counts."""
-    return merged([np.unique(_codes(p), return_counts=True) for p in _pieces(text)])
+    return merged([np.unique(_codes(*p), return_counts=True) for p in _pieces(text)])
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if len(parts) == 1:
         return parts[0]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     codes, counts = (np.concatenate(x) for x in zip(*parts))
     codes, back = np.unique(codes, return_inverse=True)
     return codes, np.bincount(back, counts, len(codes)).astype(np.int64)
@@ -152,3 +157,21 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Learn from the documents outside one fold of keys, predict all."""
     held = remainder(F.col(key), folds) == fold
     return predict(docs, learn(docs.where(~held), text, lang), held, key, text)
+
+
+def oracle_sql(folds: int = 4, fold: int = 2) -> str:
+    """``identify`` for DuckDB, on the table documents."""
+    edge = f"chr({EDGE})"
+    grams = lambda n, more: f"list_transform(range(1, CAST(length(w) + {more} AS BIGINT)), lambda k: substr({edge} || w || {edge}, k, {n}))"
+    rank = lambda by, n: f"row_number() OVER (PARTITION BY {by} ORDER BY {n} DESC, length(g), g)"
+    return f"""WITH crc_table AS (SELECT list(c ORDER BY n) AS crcs FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(n))),
+    d AS (SELECT row_number() OVER () AS i, doc_id, lang, text, xor(list_reduce(list_concat([4294967295], list_transform(range(1, CAST(length(s) + 1 AS BIGINT)), lambda k: CAST(ascii(substr(s, k, 1)) AS BIGINT))), lambda c, b: xor(c // 256, crcs[xor(c, b) % 256 + 1])), 4294967295) % {folds} = {fold} AS held_out
+        FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS s FROM documents), crc_table),
+    words AS (SELECT i, w, count(*) AS n FROM (SELECT i, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM d) GROUP BY ALL),
+    own AS (SELECT i, g, CAST(sum(n) AS BIGINT) AS n FROM (SELECT i, n, unnest(list_concat(list_transform(range(1, CAST(length(w) + 1 AS BIGINT)), lambda k: substr(w, k, 1)), {grams(2, 2)}, {grams(3, 1)})) AS g FROM words) GROUP BY ALL),
+    ranked AS (SELECT * FROM (SELECT i, g, {rank('i', 'n')} - 1 AS r FROM own) WHERE r < {PROFILE}),
+    profiles AS (SELECT * FROM (SELECT lang, g, {rank('lang', 'n')} - 1 AS r FROM (SELECT lang, g, sum(n) AS n FROM own JOIN d USING (i) WHERE lang IS NOT NULL AND NOT held_out GROUP BY ALL)) WHERE r < {PROFILE}),
+    langs AS (SELECT DISTINCT lang FROM profiles),
+    far AS (SELECT i, langs.lang, CAST(sum(coalesce(abs(p.r - o.r), {PROFILE})) AS BIGINT) / ({PROFILE} * count(*)) AS far FROM ranked AS o CROSS JOIN langs LEFT JOIN profiles AS p ON p.lang = langs.lang AND p.g = o.g GROUP BY i, langs.lang),
+    near AS (SELECT i, list(lang ORDER BY far, lang)[1] AS lang_pred, list(far ORDER BY far, lang) AS f FROM far GROUP BY i)
+    SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(CASE WHEN len(f) = 1 THEN 1 - f[1] WHEN f[2] > 0 THEN (f[2] - f[1]) / f[2] ELSE 0 END, 0) AS score FROM d LEFT JOIN near USING (i)"""

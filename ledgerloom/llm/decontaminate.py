@@ -8,13 +8,16 @@ document looks up its words in that index; each hit fixes where the window would
 start, places before the start or beyond the end of the document are dropped,
 and the rest is compared word by word.
 
-The windows of a benchmark of up to ``BROADCAST_BYTES`` are sent to every task.
-A larger benchmark is joined: the documents' hits on index words are matched
-with the windows in a shuffle join, and verified against the words around them.
+The windows of a benchmark of up to ``BROADCAST_WINDOWS`` windows are sent to
+every task. A larger benchmark is joined: the documents' hits on index words are
+matched with the windows in a shuffle join, and verified against the words around
+them; windows are repeated under ``SALTS`` salts there, so that a frequent word
+meets its windows in many tasks.
 
 Null text has no words; an item without words has no window. Null item ids count
 as empty ids, repeated item ids as one item. Repeated documents give repeated
-results.
+results. Without items no document is hit; without documents there is no row.
+Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, map_arrow, raw, slices
+from ledgerloom.llm.common import cut, map_arrow, raw, slices, small
 
 WINDOW = 10
-#: Size of a benchmark's texts up to which its windows are broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Windows up to which a benchmark is broadcast (about half a kilobyte each in a worker).
+BROADCAST_WINDOWS = 100_000
+SALTS = 32
+#: Marks of contaminated texts that are broadcast at most.
+BROADCAST_MARKS = 100_000
 
 #: Bytes that end words: ASCII but for digits and letters; capitals are small before this.
 _BREAKS = bytes.maketrans(bytes(i for i in range(128) if not re.match(rb"[0-9a-z]", bytes([i]))), b" " * 92)
@@ -112,11 +118,21 @@ def build_index(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", te
     return Index(items, word_counts(docs, vocabulary) if vocabulary else {})
 
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def split(text: Column) -> Column:
+    """``words`` as a column."""
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _CAPITALS, _CAPITALS.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+
+
 def fits(benchmark: DataFrame, text: str, limit: int) -> bool:
-    return (benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0) <= limit
+    """Whether the benchmark has at most ``limit`` windows."""
+    sizes = benchmark.select(F.size(split(F.col(text))).alias("n")).where("n > 0")
+    return (sizes.agg(F.sum(F.greatest(F.lit(1), F.col("n") - (WINDOW - 1)))).first()[0] or 0) <= limit
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", limit: int = BROADCAST_WINDOWS) -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, contaminated, and the items' ids as a sorted array."""
     if not fits(benchmark, "text", limit):
         return contamination_by_join(docs, benchmark, key, text)
@@ -145,12 +161,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit: int = BROADCAST_WINDOWS) -> DataFrame:
     """The documents that contain no window, with all their columns."""
     if not fits(benchmark, "text", limit):
         rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("mark"), F.col(text).alias("text"))
         hit = contamination_by_join(rows.select("mark", "text").dropDuplicates(["mark"]), benchmark, "mark").where("contaminated").select("mark")
-        return rows.join(hit, "mark", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+        hit = cut(hit)
+        if small(hit, BROADCAST_MARKS):
+            left = rows.join(F.broadcast(hit), "mark", "left_anti")
+        else:  # copies of a text are dealt over salts, each of which has all marks
+            left = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).join(_salted(hit), ["mark", "salt"], "left_anti")
+        return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
     index = docs.sparkSession.sparkContext.broadcast(build_index(docs, benchmark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,32 +183,32 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit: int
     return map_arrow(docs, run, docs.schema)
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def contamination_by_join(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same for benchmarks of any size: windows and hits meet in a shuffle join on the rarest word.
 
     A hit carries the words around it, so it is verified where it lands.
     """
-    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-    def split(c: Column) -> Column:
-        return F.filter(F.split(F.translate(F.coalesce(c, F.lit("")), capitals, capitals.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-
     doc_words = docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.col(key), split(F.col(text)).alias("w"))
     doc_words = cut(doc_words)  # row numbers hold from here on
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), split(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - 1)))
     windows = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, WINDOW))).alias("window")).distinct()
-    counts = doc_words.select(F.explode("w").alias("word")).join(windows.select(F.explode("window").alias("word")).distinct(), "word", "left_semi").groupBy("word").count()
+    counts = doc_words.select(F.explode("w").alias("word")).groupBy("word").count().join(windows.select(F.explode("window").alias("word")).distinct(), "word", "left_semi")
     ranked = windows.select("item", "window", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
     best = ranked.groupBy("item", "window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "offset")).alias("b"))
-    indexed = best.select("item", "window", F.col("b.word").alias("word"), F.col("b.offset").alias("offset"))
+    indexed = cut(best.select("item", "window", F.col("b.word").alias("word"), F.col("b.offset").alias("offset")))
+    salt = F.pmod(F.xxhash64("_row", "p"), F.lit(SALTS)).alias("salt")
     # only the places of index words leave the documents; then each takes the words around it along
-    places = doc_words.select("_row", F.posexplode("w").alias("p", "word")).join(indexed.select("word").distinct(), "word", "left_semi")
+    places = doc_words.select("_row", F.posexplode("w").alias("p", "word")).select("*", salt).join(_salted(indexed.select("word").distinct()), ["word", "salt"], "left_semi")
     places = places.groupBy("_row").agg(F.collect_list("p").alias("places"))
     w = F.col("w")
     taken = F.transform("places", lambda p: F.struct(p.alias("p"), F.get(w, p).alias("word"), F.slice(w, F.greatest(F.lit(1), p + 2 - WINDOW), F.lit(2 * WINDOW - 1)).alias("around"), F.least(p, F.lit(WINDOW - 1)).alias("before")))
-    hits = doc_words.join(places, "_row").select("_row", F.size("w").alias("n"), taken.alias("taken")).select("_row", "n", F.explode("taken").alias("x")).select("_row", "n", "x.*")
-    met = hits.join(indexed, "word").where("p >= offset AND p - offset + size(window) <= n")
+    hits = doc_words.join(places, "_row").select("_row", F.size("w").alias("n"), taken.alias("taken")).select("_row", "n", F.explode("taken").alias("x")).select("_row", "n", "x.*").select("*", salt)
+    met = hits.join(_salted(indexed), ["word", "salt"]).where("p >= offset AND p - offset + size(window) <= n")
     met = met.where(F.slice("around", F.col("before") - F.col("offset") + 1, F.size("window")) == F.col("window"))
     spans = met.select("_row", "item", F.explode(F.sequence(F.col("p") - F.col("offset"), F.col("p") - F.col("offset") + F.size("window") - 1)).alias("at"))
     n_hit = spans.select("_row", "at").distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))

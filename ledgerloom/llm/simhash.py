@@ -2,11 +2,12 @@
 
 Fingerprints link at ``DISTANCE`` or fewer differing bits. The 64 bits are
 dealt into parts of correlated bits; part i has a threshold t_i, and the
-t_i + 1 add up to DISTANCE + 1, so two linked fingerprints differ in at most
-t_i bits of some part i. Widths and thresholds come from a dynamic program over
-estimated numbers of probes and candidates. Every distinct fingerprint is then
-put under its value in each part, and under the values at up to t_i flipped
-bits; what meets under a value is verified on all 64 bits.
+t_i + 1 add up to DISTANCE + 1 or more, so two linked fingerprints differ in at
+most t_i bits of some part i. Widths and thresholds, both unequal, come from a
+dynamic program over estimated numbers of probes and candidates. Every distinct
+fingerprint is then put under its value in each part, and under the values at up
+to t_i / 2 flipped bits: two that differ in t_i bits meet half way. What meets
+under a value is verified on all 64 bits.
 
 Within a value only a spanning forest of the links is kept, found by flooding
 from one fingerprint to those not reached yet: a dense group of k fingerprints
@@ -14,18 +15,21 @@ takes about k steps and gives k - 1 links, not k * k / 2. Values that many
 fingerprints share are cut into blocks, and each pair of blocks is a group of
 its own, so no task has to hold more than two blocks. No link between different
 components of the forest is lost; components join with alternating star
-contractions over checkpointed tables.
+contractions over checkpointed tables. Components and fingerprints with many
+members (a 500th of all; there are 500 at most) reach these by broadcast.
 
 Null text and text without words have the fingerprint zero and link like any
 other. Rows with a null key are fingerprinted and linked; a component's id is
 the smallest key that isn't null, null if there is none. Repeated rows give
-repeated results.
+repeated results, an empty table an empty one; texts of any length are read
+whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,15 @@ from ledgerloom.llm.common import cut, map_arrow, raw, slices
 
 WORDS, SEED, BITS, DISTANCE = 4, 42, 64, 4
 #: Fingerprints (smallest hash first) from which the plan's costs are estimated. They never decide what links.
-PLAN_SAMPLE = 4096
+PLAN_SAMPLE = 1024
+#: Parts begin and end at multiples of this many bits; values of a part that one fingerprint is put under at most.
+STEP, MOST_VALUES = 4, 600
 #: Fingerprints in a block of a value that many share.
 BLOCK = 2048
 #: Cost of a probe row against that of comparing a candidate.
 PROBE_COST = 40.0
+#: A key with more than one in so many of all rows (and over a thousand) is broadcast.
+FREQUENT = 500
 
 
 def fingerprint(data: bytes) -> int:
@@ -113,51 +121,61 @@ def correlated_order(counts: np.ndarray, n: int) -> list[int]:
     return order
 
 
-def variants(width: int, t: int) -> int:
-    """Values within t flipped bits."""
-    total, ways = 1, 1
-    for i in range(t):
-        ways = ways * (width - i) // (i + 1)
-        total += ways
-    return total
-
-
-def allocate(parts: list[list[int]], sample: np.ndarray, n: int, distance: int = DISTANCE) -> tuple[float, list[int]]:
-    """Thresholds (-1: part unused) of the least estimated cost, by dynamic programming over parts and spent budget."""
-    budget = distance + 1
-    best: list[tuple[float, list[int]]] = [(0.0, [])] + [(np.inf, [])] * budget
-    for bits in parts:
-        mask = np.uint64(sum(1 << b for b in bits))
-        cells, near = sample & mask, np.zeros(len(bits) + 1)
-        for i in range(0, len(cells), 256):
-            near += np.bincount(np.bitwise_count(cells[i : i + 256, None] ^ cells).ravel(), minlength=len(bits) + 1)[: len(bits) + 1]
-        near[0] -= len(cells)
-        share = np.cumsum(near) / max(1, len(cells) * (len(cells) - 1))
-        # unseen pairs: at least what independent even bits would give
-        floor = np.array([variants(len(bits), t) / 2.0 ** len(bits) for t in range(len(bits) + 1)])
-        pairs = np.maximum(share, floor) * n * n / 2
-        then = [(np.inf, [])] * (budget + 1)
-        for spent, (cost, chosen) in enumerate(best):
-            for t in range(-1, min(2, budget - spent - 1) + 1):
-                more = 0.0 if t < 0 else n * variants(len(bits), t) * PROBE_COST + pairs[t]
-                if cost + more < then[spent + t + 1][0]:
-                    then[spent + t + 1] = (cost + more, [*chosen, t])
-        best = then
-    return best[budget]
+def variants(width: int, flips: int) -> int:
+    """Values within so many flipped bits."""
+    return sum(comb(width, i) for i in range(flips + 1))
+
+
+def meetings(width: int, apart: int, flips: int) -> int:
+    """Under how many values two fingerprints meet that differ in ``apart`` of a part's bits."""
+    return sum(comb(apart, i) * comb(width - apart, j) for i in range(apart + 1) for j in range(flips + 1) if max(i, apart - i) + j <= flips)
+
+
+def allocate(order: list[int], sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
+    """Parts of the ordered bits with the flips of each, of the least estimated cost.
+
+    Dynamic programming over the place in the order and the budget spent: a part
+    with f flips has the threshold 2 f and spends 2 f + 1 of distance + 1.
+    """
+    steps, budget, m = BITS // STEP, distance + 1, len(sample)
+    apart = np.zeros((steps + 1, m, m), np.uint8)  # differing bits of each pair in the first k steps
+    for k in range(steps):
+        cells = sample & np.uint64(sum(1 << b for b in order[k * STEP : (k + 1) * STEP]))
+        apart[k + 1] = apart[k] + np.bitwise_count(cells[:, None] ^ cells)
+
+    def costs(a: int, b: int) -> list[tuple[int, float]]:
+        """(flips, cost) of the part from step a to step b."""
+        width = (b - a) * STEP
+        near = np.bincount((apart[b] - apart[a]).ravel(), minlength=width + 1).astype(float)
+        near[0] -= m
+        share = near / max(1, m * (m - 1))
+        found = []
+        for flips in range(distance // 2 + 1):
+            if variants(width, flips) > MOST_VALUES or 2 * flips > width:
+                break
+            # unseen pairs: at least what independent even bits would give
+            pairs = sum(max(share[d], comb(width, d) / 2.0**width) * meetings(width, d, flips) for d in range(2 * flips + 1))
+            found.append((flips, n * variants(width, flips) * PROBE_COST + pairs * n * n / 2))
+        return found
+
+    best: list[list[tuple[float, tuple]]] = [[(np.inf, ())] * (budget + 1) for _ in range(steps + 1)]
+    best[0][0] = (0.0, ())
+    for a in range(steps):
+        for spent, (cost, chosen) in enumerate(best[a]):  # leave a step out
+            best[a + 1][spent] = min(best[a + 1][spent], (cost, chosen))
+        for b in range(a + 1, steps + 1):
+            for flips, more in costs(a, b):
+                for spent, (cost, chosen) in enumerate(best[a]):
+                    to = min(budget, spent + 2 * flips + 1)
+                    best[b][to] = min(best[b][to], (cost + more, (*chosen, (a, b, flips))))
+    return [(order[a * STEP : b * STEP], flips) for a, b, flips in best[steps][budget][1]]
 
 
 def plan(fps: DataFrame, n: int) -> list[tuple[list[int], int]]:
-    """Parts with their thresholds, for ``n`` distinct fingerprints."""
+    """Parts with their flips, for ``n`` distinct fingerprints."""
     order = correlated_order(bit_counts(fps), n)
     rows = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).collect()
-    sample = np.array([r.fp for r in rows], np.int64).view(np.uint64)
-    found = []
-    for m in range(2, DISTANCE + 2):
-        edges = [round(i * BITS / m) for i in range(m + 1)]
-        parts = [order[a:b] for a, b in zip(edges, edges[1:])]
-        cost, thresholds = allocate(parts, sample, n)
-        found.append((cost, m, [(p, t) for p, t in zip(parts, thresholds) if t >= 0]))
-    return min(found)[2]
+    return allocate(order, np.array([r.fp for r in rows], np.int64).view(np.uint64), n)
 
 
 # Links.
@@ -297,18 +315,29 @@ def stars(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def spread_join(rows: DataFrame, labels: DataFrame, on: str, total: int) -> DataFrame:
+    """``rows`` with the label of their ``on``; labels that many of the ``total`` rows have (column members) are broadcast, the rest is shuffled.
+
+    Not more than FREQUENT labels can have over total / FREQUENT rows each.
+    """
+    many = F.col("members") > max(1000, total // FREQUENT)
+    frequent, rare = F.broadcast(labels.where(many).drop("members")), labels.where(~many).drop("members")
+    return rows.join(frequent, on).unionByName(rows.join(frequent.select(on), on, "left_anti").join(rare, on))
+
+
 def components(keyed: DataFrame, key: str = "doc_id") -> DataFrame:
     """``keyed`` (key and fp at least) with ``component_id``, the smallest key of the component."""
     keyed = cut(keyed)
-    fps = cut(keyed.groupBy("fp").agg(F.min(key).alias("least")))
-    n = fps.count()
+    fps = cut(keyed.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("members")))
+    n, total = fps.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
     if n < 2:
-        whole = fps.select("fp", F.col("least").alias("component_id"))
+        whole = fps.select("fp", "members", F.col("least").alias("component_id"))
     else:
         roots = stars(links(fps.select("fp"), plan(fps, n))).select(F.col("hi").alias("fp"), F.col("lo").alias("root"))
-        rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        whole = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return keyed.join(whole, "fp")
+        rooted = cut(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+        whole = cut(spread_join(rooted.select("fp", F.col("members").alias("rows"), "root"), ids, "root", n).select("fp", F.col("rows").alias("members"), "component_id"))
+    return spread_join(keyed, whole, "fp", total)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +349,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest key (null keys last, then the smallest hash of the text).
 
-    Rows that agree in key and text are copies of each other; one of them stays.
+    Rows that agree in key and text are copies of each other; one of them stays,
+    that with the smallest hash of all columns.
     """
     own, mark = F.col(key), F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
     found = cut(components(fingerprints(docs.select(own.alias("own"), mark.alias("mark"), F.col(text).alias("text")), "text", ("own", "mark")), "own"))
@@ -330,5 +360,5 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("own"), mark.alias("mark"))
     rows = rows.join(kept, (F.col("mark") == F.col("m")) & F.col("own").eqNullSafe(F.col("k")), "left_semi")
     if not found.groupBy("own", "mark").count().where("count > 1").isEmpty():
-        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("mark", "own").orderBy("mark"))).where("nth <= 1")
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("mark", "own").orderBy(F.xxhash64("row")))).where("nth <= 1")
     return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -38,7 +38,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records, audited against a replica in which about one record in 97 is damaged."""
+    """The pages as WARC records, audited against a replica in which of 97 records about one is changed, one missing, one under another key and one there twice."""
     pages = table(spark, sf_dir, "pages")
     return merkle.digest(merkle.audit_replica(pages, merkle.damaged(pages)))
 
@@ -65,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.oracle_sql(),
+    "op5_language": language.oracle_sql(),
     "op6_merkle": merkle.oracle_sql(),
     "op8_secrets": secrets.oracle_sql(),
     "op9_quality_rules": quality_rules.oracle_sql(),

@@ -123,7 +123,7 @@ def test_deduplication_keeps_one_row_of_each_component(docs):
 
 
 def test_clean_drops_contaminated_rows_only(docs, benchmark):
-    for limit in (decontaminate.BROADCAST_BYTES, -1):
+    for limit in (decontaminate.BROADCAST_WINDOWS, -1):
         kept = decontaminate.clean(docs, benchmark, limit=limit).collect()
         assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 3, 5, 8] and sum(r.doc_id is None for r in kept) == 2
 
@@ -131,7 +131,11 @@ def test_clean_drops_contaminated_rows_only(docs, benchmark):
 def test_pages_with_nulls_and_repeats(spark):
     pages = spark.createDataFrame([(1, "u", "<a>"), (1, "u", "<a>"), (2, None, None), (None, "v", "x" * 100_000), (None, None, None), (3, "w", "")], "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("offset", F.lit(2))
     same = merkle.audit_replica(pages, pages).collect()
-    assert all(r.intact and r.n_compared == 1 and r.n_corrupt == 0 for r in same) and sum(r.n_records for r in same) == 6
+    assert all(r.intact and r.n_compared == 1 and r.n_changed == r.n_missing == r.n_extra == 0 for r in same) and sum(r.n_records for r in same) == 6
     assert merkle.digest(merkle.audit_replica(pages.limit(0), pages.limit(0))).collect() == []
-    one = merkle.audit_replica(pages, pages.where("page_id <> 3 OR page_id IS NULL")).collect()
-    assert sum(r.n_corrupt for r in one) >= 1
+    kinds = lambda rows: [(f.kind, f.key, f.lost, f.found) for r in rows for f in r.findings or ()]
+    assert kinds(merkle.audit_replica(pages, pages.where("page_id <> 3 OR page_id IS NULL")).collect()) == [("missing", 3, 1, 0)]
+    assert kinds(merkle.audit_replica(pages, pages.where("page_id <> 1 OR page_id IS NULL")).collect()) == [("missing", 1, 2, 0)]
+    assert sorted(kinds(merkle.audit_replica(pages, pages.limit(0)).collect()), key=str) == sorted([("missing", 1, 2, 0), ("missing", 2, 1, 0), ("missing", 3, 1, 0), ("missing", None, 1, 0), ("missing", None, 1, 0)], key=str)
+    assert sum(f[3] for f in kinds(merkle.audit_replica(pages.limit(0), pages).collect())) == 6
+    merkle.digest(merkle.audit_replica(pages, merkle.damaged(pages, one_in=4))).collect()

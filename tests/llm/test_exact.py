@@ -56,6 +56,17 @@ def test_merging_in_blocks_equals_merging_one_by_one():
     assert m.merge(words) == [m.merge_long(w) for w in words]
 
 
+def test_the_lexicon_does_not_depend_on_partitions(spark, sf, monkeypatch):
+    path = vocabulary("byte_bpe_50k.json")
+    docs = table(spark, sf, "documents").select("text")
+    one = bpe.frequent_words(docs.coalesce(1), path)
+    assert bpe.frequent_words(docs.repartition(37), path) == one
+    library = Counter(w for r in docs.collect() for w in bpe.pre_tokens((r.text or "").encode()) if len(w) <= bpe.LEXICON_BYTES)
+    assert one == sorted(w for w, _ in sorted(library.items(), key=lambda x: (-x[1], x[0]))[: bpe.LEXICON_WORDS])
+    monkeypatch.setattr(bpe, "COUNT_WORDS", 100)
+    assert bpe.frequent_words(docs.repartition(3), path, limit=500) == sorted(w for w, _ in sorted(library.items(), key=lambda x: (-x[1], x[0]))[:500])
+
+
 def test_transducer_is_minimal_and_finds_what_it_holds():
     r = random.Random(2)
     words = sorted({bytes(r.choice(b"abc") for _ in range(r.randint(1, 8))) for _ in range(700)})
@@ -131,13 +142,13 @@ def clouds(seed: int, n: int) -> list[int]:
 
 
 @pytest.mark.parametrize("block", [16, 2048])
-@pytest.mark.parametrize("thresholds", [(0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1), None])
+@pytest.mark.parametrize("thresholds", [(0, 0, 0, 0, 0), (1, 0, 0), (1, 1), (2,), None])
 def test_components_equal_brute_force(spark, thresholds, block):
     fps = sorted(set(clouds(block, 300)))
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
     if thresholds is None:
         parts = simhash.plan(df, len(fps))
-        assert sum(t + 1 for _, t in parts) == 5
+        assert sum(2 * t + 1 for _, t in parts) >= 5
     else:
         edges = [round(i * 64 / len(thresholds)) for i in range(len(thresholds) + 1)]
         parts = [(list(range(a, b)), t) for a, b, t in zip(edges, edges[1:], thresholds)]
@@ -160,6 +171,36 @@ def test_components_equal_brute_force(spark, thresholds, block):
     assert {x: got.get(x, x) for x in signed} == {x: least[root(i)] for i, x in enumerate(signed)}
 
 
+def test_meetings_and_plans():
+    """Two values at most 2 f bits apart share a value within f flips; plans spend the budget whatever the sample."""
+    for width in (3, 6):
+        for flips in (0, 1, 2):
+            near = [z for z in range(1 << width) if z.bit_count() <= flips]
+            for x in range(1 << width):
+                assert len({x ^ z for z in near}.intersection(near)) == simhash.meetings(width, x.bit_count(), flips)
+    r = np.random.default_rng(2)
+    even = r.integers(0, 2**64, 500, np.uint64)
+    for sample in (even, even & np.uint64(0xFFFF), even | np.uint64(2**40 - 1), np.zeros(3, np.uint64)):
+        for n in (100, 10**6, 10**11):
+            parts = simhash.allocate(list(range(64)), sample, n)
+            assert sum(2 * f + 1 for _, f in parts) >= 5 and len({b for p, _ in parts for b in p}) == sum(len(p) for p, _ in parts)
+    half = even & np.uint64(2**32 - 1) | even >> np.uint64(20) & np.uint64(0xFFF) << np.uint64(32)
+    plans = [simhash.allocate(list(range(64)), half, 10**k) for k in range(3, 12)]
+    assert any(len({len(p) for p, _ in parts}) > 1 for parts in plans) and any(len({f for _, f in parts}) > 1 for parts in plans)
+
+
+def test_frequent_labels_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FREQUENT", 3)
+    rows = spark.range(4000).selectExpr("id", "IF(id % 2 = 0, 7L, id) AS fp")
+    labels = rows.groupBy("fp").count().selectExpr("fp", "fp * 10 AS label", "count AS members")
+    assert sorted((r.id, r.label) for r in simhash.spread_join(rows, labels, "fp", 4000).collect()) == [(i, 70 if i % 2 == 0 else i * 10) for i in range(4000)]
+
+
+def test_the_row_that_stays_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(1, "the very same text", f"s{i}") for i in range(40)], "doc_id long, text string, source string")
+    assert len({tuple(simhash.deduplicate(docs.repartition(n)).collect()) for n in (1, 3, 8)}) == 1
+
+
 def test_near_duplicates_of_documents(spark, sf):
     docs = table(spark, sf, "documents")
     whole = {r.doc_id: slow_fingerprint(r.text or "") for r in docs.collect()}
@@ -196,11 +237,28 @@ def test_contamination_equals_brute_force_in_both_ways(spark):
                         found.add(str(item))
         want[k] = (len(w), len(hit), sorted(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontaminate.BROADCAST_BYTES, 0):
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
         got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.items_sha256) for r in decontaminate.contamination(d, b, limit=limit).collect()}
         assert got == want
 
 
+def test_windows_decide_whether_a_benchmark_is_broadcast(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30))), (2, "a b"), (3, None), (4, "..")], "item_id long, text string")
+    assert decontaminate.fits(items, "text", 22) and not decontaminate.fits(items, "text", 21) and decontaminate.fits(items.limit(0), "text", 0)
+
+
+def test_a_frequent_word_in_the_join(spark, monkeypatch):
+    """An item of one word that every document has; marks of contaminated texts in both kinds of join."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'the same text', concat('the word ', id)) AS text")
+    items = spark.createDataFrame([(1, "the"), (2, "word 17")], "item_id long, text string")
+    rows = decontaminate.contamination_by_join(docs, items).collect()
+    assert len(rows) == 3000 and all(r.n_hit == 1 and list(r["items"]) == ["1"] for r in rows if r.doc_id != 17) and [list(r["items"]) for r in rows if r.doc_id == 17] == [["1", "2"]]
+    one = spark.createDataFrame([(1, "same text"), (2, "word 17")], "item_id long, text string")
+    for marks in (decontaminate.BROADCAST_MARKS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_MARKS", marks)
+        assert decontaminate.clean(docs, one, limit=0).count() == 1999
+
+
 # Language.
 
 
@@ -210,7 +268,7 @@ def test_out_of_place_distances():
     for text in ("das ist die", "that was the end of it", "x"):
         letters = re.sub(r"[^a-z]+", " ", text.lower()).split()
         grams = Counter()
-        code = lambda g: sum((0 if c == "_" else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        code = lambda g: sum((language.EDGE if c == "_" else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
         for w in letters:
             for n in (1, 2, 3):
                 s = w if n == 1 else f"_{w}_"
@@ -232,43 +290,92 @@ def test_language_of_held_out_documents(spark, sf):
     assert r.where("lang_pred = lang").count() >= 0.98 * r.count() > 0
 
 
-def test_long_texts_in_pieces(monkeypatch):
-    text = "alpha beta gamma delta " * 50
+@pytest.mark.parametrize("text", ["alpha beta gamma delta " * 50, "ab" * 600, " .. " * 300, "x" + " " * 250 + "Yz", "ΑΣ" * 99 + " " + "Ünï" * 70])
+def test_pieces_count_what_the_whole_does(monkeypatch, text):
     whole = language.ngrams(text)
-    monkeypatch.setattr(language, "PIECE", 100)
-    pieces = language.ngrams(text)
-    assert [x.tolist() for x in whole] == [x.tolist() for x in pieces]
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(language, "PIECE", size)
+        assert [x.tolist() for x in whole] == [x.tolist() for x in language.ngrams(text)]
+
+
+def test_edges_are_told_from_shorter_ngrams():
+    codes, counts = language.ngrams("ab a")
+    found = {tuple(x for x in (c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF) if x): n for c, n in zip(codes.tolist(), counts.tolist())}
+    e, a, b = language.EDGE, ord("a"), ord("b")
+    assert found == {(a,): 2, (b,): 1, (e, a): 2, (a, b): 1, (b, e): 1, (a, e): 1, (e, a, b): 1, (a, b, e): 1, (e, a, e): 1}
 
 
 # Merkle trees.
 
 
-def test_audit_finds_exactly_the_damaged_records(spark):
-    r = random.Random(8)
-    pages = [(i, f"u{i}", "".join(r.choice("abc<>é") for _ in range(r.randint(0, 50)))) for i in range(1500)]
-    bad = set(r.sample(range(1500), 9))
+def record(key, url, body) -> bytes:
+    key, url, body = "" if key is None else str(key), url or "", body or ""
+    return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{key}>\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n".encode()
+
+
+def pages_(n: int, seed: int = 8) -> list[tuple]:
+    r = random.Random(seed)
+    return [(i, f"u{i}", "".join(r.choice("abc<>é") for _ in range(r.randint(0, 50)))) for i in range(n)]
+
+
+def findings(spark, ours: list[tuple], theirs: list[tuple]) -> tuple[list, list]:
     columns = "page_id long, url string, html string"
-    a = spark.createDataFrame(pages, columns)
-    b = spark.createDataFrame([(i, u, h + "!" if i in bad else h) for i, u, h in pages], columns).repartition(5)
-    found = merkle.audit_replica(a, b).collect()
-    assert {c.key for x in found for c in x.corrupt or ()} == bad
-    assert sum(x.n_records for x in found) == 1500 and all(x.intact == (x.n_corrupt == 0) for x in found)
-    assert all(x.n_compared == 1 for x in found if x.intact)
-    # the root of one archive, by hand
-    n = merkle.archives_for(a)
-    x = found[0]
-    mine = sorted((i, u, h) for i, u, h in pages if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % n == x.archive)
-    record = lambda u, h: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {u}\r\nContent-Type: text/html\r\nContent-Length: {len(h.encode())}\r\n\r\n{h}\r\n\r\n".encode()
-    level = [hashlib.sha256(record(u, h)).hexdigest() for _, u, h in mine]
-    for _ in range(merkle.LEVELS):
-        level = [hashlib.sha256("".join(level[i : i + merkle.FANOUT]).encode()).hexdigest() for i in range(0, len(level), merkle.FANOUT)]
-    assert x.root == hashlib.sha256("".join(level).encode()).hexdigest()
-    offset = 0
-    at = {}
-    for i, u, h in mine:
-        at[i] = offset
-        offset += len(record(u, h))
-    assert x.n_bytes == offset and all(c.offset == at[c.key] for c in x.corrupt or ())
+    rows = merkle.audit_replica(spark.createDataFrame(ours, columns), spark.createDataFrame(theirs, columns).repartition(5)).collect()
+    return rows, sorted(((f.kind, f.key, f.lost, f.found) for x in rows for f in x.findings or ()), key=str)
+
+
+def test_one_missing_page_is_one_finding(spark):
+    pages = pages_(250)
+    rows, found = findings(spark, pages, pages[1:])
+    assert found == [("missing", 0, 1, 0)] and sum(x.n_missing for x in rows) == 1 and sum(x.n_changed + x.n_extra for x in rows) == 0
+    assert max(x.n_compared for x in rows) < 100
+
+
+def test_audit_finds_exactly_what_differs(spark):
+    """Changed, missing, new, moved (under another key) and doubled records, and nothing else; offsets and the root by hand."""
+    pages = pages_(1500)
+    changed, missing, moved, doubled = {5, 600, 1400}, {7, 8, 900}, {11, 700}, {13}
+    theirs = [(k + 10_000 if k in moved else k, u, h + "!" if k in changed else h) for k, u, h in pages if k not in missing]
+    theirs += [p for p in pages if p[0] in doubled] + [(20_000, "new", "x")]
+    rows, found = findings(spark, pages, theirs)
+    want = [("changed", k, 1, 1) for k in changed] + [("missing", k, 1, 0) for k in missing | moved] + [("extra", k + 10_000, 0, 1) for k in moved] + [("extra", 13, 0, 1), ("extra", 20_000, 0, 1)]
+    assert found == sorted(want, key=str)
+    assert sum(x.n_records for x in rows) == 1500 and all(x.intact == (not x.findings) for x in rows)
+    assert all(x.n_compared == 1 for x in rows if x.intact)
+    n, slots = -(-1500 // merkle.ARCHIVE_RECORDS), merkle.FANOUT**merkle.LEVELS
+    digits = lambda k, a, b: int(hashlib.md5(str(k).encode()).hexdigest()[a:b], 16)
+    for x in rows:
+        mine = sorted((digits(k, 8, 12) % slots, k, record(k, u, h)) for k, u, h in pages if digits(k, 0, 8) % n == x.archive)
+        at, offset, nodes = {}, 0, []
+        for slot, k, data in mine:
+            at[k] = offset
+            nodes.append((slot, offset, len(data), hashlib.sha256(data).hexdigest() + "*1"))
+            offset += len(data)
+        for step in (1, *[merkle.FANOUT] * merkle.LEVELS):
+            up = {}
+            for place, *rest in nodes:
+                up.setdefault(place // step, []).append(rest)
+            nodes = [(p, c[0][0], sum(s for _, s, _ in c), hashlib.sha256(",".join(f"{o - c[0][0]}:{s}:{h}" for o, s, h in c).encode()).hexdigest()) for p, c in sorted(up.items())]
+        assert x.root == nodes[0][3] and x.n_bytes == offset
+        assert all(f.offset == at[f.key] for f in x.findings or () if f.kind != "extra")
+
+
+def test_a_key_of_many_records_is_spread(spark, monkeypatch):
+    """A third of the pages has one key: archives stay small, and the audit exact, with both kinds of join."""
+    pages = pages_(2000) + [(5, f"v{i}", f"body {i}") for i in range(1000)] + [(None, "w", f"null {i}") for i in range(400)] + [(9, "same", "same")] * 500
+    theirs = [p for p in pages if p not in ((5, "v17", "body 17"), (None, "w", "null 3"))]
+    theirs[theirs.index((5, "v400", "body 400"))] = (5, "v400", "other")
+    for limit in (merkle.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(merkle, "BROADCAST_KEYS", limit)
+        rows, found = findings(spark, pages, [p for p in theirs if p[0] is not None])
+        assert sum(f[2] for f in found if f[1] is None) == 400
+        rows, found = findings(spark, pages, theirs)
+        assert (sum(x.n_missing + x.n_changed for x in rows), sum(x.n_extra + x.n_changed for x in rows)) == (3, 1)
+        assert {(f[1], f[2], f[3]) for f in found if f[0] != "changed"} <= {(5, 1, 0), (5, 0, 1), (None, 1, 0)}
+        columns = "page_id long, url string, html string"
+        kept = merkle.records(spark.createDataFrame(pages, columns))
+        sizes = merkle.leaves(kept, 16, merkle.crowded(kept, kept)).groupBy("archive").count().collect()
+        assert len(sizes) == 16 and max(r["count"] for r in sizes) < 2 * merkle.ARCHIVE_RECORDS
 
 
 # Secrets.

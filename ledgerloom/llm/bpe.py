@@ -34,13 +34,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_arrow, raw, ship, slices
+from ledgerloom.llm.common import cut, map_arrow, raw, ship, slices
 
 #: Words in the lexicon at most, and bytes of one.
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 40
 #: Different words that a task counts before it passes the counts on; they are added up later.
-COUNT_WORDS = 500_000
+COUNT_WORDS = 200_000
 #: Words remembered by a Python worker, from task to task.
 CACHE_WORDS = 500_000
 #: Words longer than this many bytes are merged one by one with a heap.
@@ -341,7 +341,11 @@ def codec(path: str, name: str) -> Codec:
 
 
 def frequent_words(docs: DataFrame, path: str, text: str = "text", limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``limit`` most frequent pre-tokens of all documents of at most LEXICON_BYTES bytes (ties: smaller bytes first), ascending by bytes."""
+    """The pre-tokens of all documents that are met at least so often that no more than ``limit`` are, of at most LEXICON_BYTES bytes; ascending.
+
+    Counts over 64 are told apart in steps of about a hundredth, so that a few
+    thousand sums say how often that is; only the words kept go to the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, found = Codec(merges(path), None), Counter()
@@ -360,10 +364,15 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text", limit: int =
         if found:
             yield rows()
 
-    counts = map_arrow(docs.select(text), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(limit).collect()
+    counts = cut(map_arrow(docs.select(text), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 64))
+    left, least = limit, 1 << 62
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["level"]
     special = set(merges(path).special)
-    return sorted(w for r in top if (w := bytes(r.word)) not in special)
+    return sorted(w for r in counts.where(level >= least).select("word").collect() if (w := bytes(r.word)) not in special)
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, text: str = "text", limit: int = LEXICON_WORDS) -> str:

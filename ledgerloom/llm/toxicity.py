@@ -40,9 +40,9 @@ from ledgerloom.llm.labelled import fit_sigmoid, held_out, labelled_features, ra
 
 #: Labelled examples in the index at most.
 EXAMPLES = 4096
-BLOCK, NEIGHBOURS = 128, 15
+BLOCK, NEIGHBOURS = 512, 15
 #: Blocks that a search scores before it has a bound.
-FIRST_BLOCKS = 4
+FIRST_BLOCKS = 1
 #: The weight of a term that says nothing about the label, against 1 for one that says all.
 FLOOR = 0.003
 #: Cosines this close are ties.

@@ -4,14 +4,18 @@ Each document gets measures of its text. For every language and source a
 quantile sketch of each measure is made: counts of logarithmic buckets, whose
 relative error is bounded by ``ACCURACY``. Sketches are sums of counts, so they
 merge in any order with the same result, before and after the shuffle, and a hot
-source costs no more than its buckets. Thresholds are quantiles of the sketches,
-eased by a factor; groups of fewer than ``LEAST_ROWS`` documents use their
-language's sketch, and that of all documents if it is small too. A document is
-kept if it passes the fixed base rules and none of its measures lies beyond its
-group's threshold.
+source costs no more than its buckets. A threshold is a quantile of the sketch
+times a factor, and never a share that can't exist; groups of fewer than
+``LEAST_ROWS`` documents use their language's sketch, and that of all documents if
+it is small too. A document is kept if it passes the fixed base rules and none of
+its measures exceeds its group's threshold by more than ``GUARDS``, a few
+characters, lines or words: what one repeated line or formula amounts to, which in
+a short document is a large share but no sign of anything.
 
 Null and empty texts have no words and fail the base rules. Null languages and
-sources are groups of their own. Repeated rows are judged alike.
+sources are groups of their own. Repeated rows are judged alike. An empty table
+gives an empty result; texts of any length are measured whole, in memory that is
+a multiple of the longest.
 """
 
 from __future__ import annotations
@@ -25,20 +29,13 @@ from ledgerloom.llm.common import cut, small, stored
 
 BASE_WORDS, BASE_REPEAT = 50, 50
 ACCURACY = 0.02
-LEAST_ROWS = 50
+LEAST_ROWS = 200
 #: Thresholds are broadcast up to this many rows, else joined.
 BROADCAST_ROWS = 50_000
-#: measure: (quantile, factor, floor). Above quantile * factor, and above the floor, a document is rejected.
-#: Measures are shares of a thousand, but for mean_chars, the mean length of a word in hundredths of a character.
-#: Floors guard groups whose quantile is near zero. Those of dup_lines and repeat_words are high, as most groups' quantiles
-#: are zero there while a single repeat is a large share of a short document: in such groups these two are fixed cutoffs.
-RULES = {
-    "symbols": (0.75, 4.0, 10),
-    "dup_lines": (0.90, 4.0, 500),
-    "repeat_words": (0.90, 3.0, 400),
-    "upper": (0.75, 4.0, 10),
-    "mean_chars": (0.75, 1.4, 200),
-}
+#: measure: (quantile, factor). Measures are shares of a thousand, but for mean_chars, the mean length of a word in hundredths of a character.
+RULES = {"symbols": (0.90, 4.0), "dup_lines": (0.90, 4.0), "repeat_words": (0.90, 4.0), "upper": (0.90, 4.0), "mean_chars": (0.90, 1.25)}
+#: How many characters, lines or words beyond the threshold a document may have.
+GUARDS = {"symbols": 5, "dup_lines": 2, "repeat_words": 24, "upper": 5, "mean_chars": 0}
 _LOG_GAMMA = math.log((1 + ACCURACY) / (1 - ACCURACY))
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -69,7 +66,7 @@ def measured(docs: DataFrame, carry: list[str], text: str = "text", lang: str =
     gaps = F.zip_with(b, F.slice(b, F.lit(2), F.size(b)), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     covered = F.coalesce(F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x), F.lit(0))
     without = lambda p: F.when(t.rlike(p), F.length(t) - F.length(F.regexp_replace(t, p, ""))).otherwise(0)
-    values = (F.size(w), F.length(F.array_join(w, "")), without("[#*$%&|<>]"), F.size("lines") - F.size(F.array_distinct("lines")), covered, F.size("lines"), without("[A-Z]"))
+    values = (F.size(w), F.length(F.regexp_replace(t, _SPACE, "")), without("[#*$%&|<>]"), F.size("lines") - F.size(F.array_distinct("lines")), covered, F.size("lines"), without("[A-Z]"))
     return rows.select("row", "lang", "source", *(v.cast("long").alias(n) for n, v in zip(MEASURES, values)))
 
 
@@ -98,10 +95,12 @@ def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     merged = sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rule")
     merged = merged.withColumns({"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))})
-    q, factor, floor = (F.create_map(*(x for r, v in RULES.items() for x in (F.lit(r), F.lit(float(v[k])))))[F.col("rule")] for k in range(3))
+    q, factor = (F.create_map(*(x for r, v in RULES.items() for x in (F.lit(r), F.lit(float(v[k])))))[F.col("rule")] for k in range(2))
     at = F.min(F.when(F.col("upto") > F.floor(q * (F.col("total") - 1)), F.col("bucket"))).alias("bucket")
     value = F.when(F.col("bucket") < 0, 0.0).otherwise(2 * F.exp(F.col("bucket") * _LOG_GAMMA) / (math.exp(_LOG_GAMMA) + 1))
-    return merged.groupBy(*by, "rule").agg(F.max("total").alias("total"), at).select(*by, "rule", "total", F.greatest(floor, F.floor(factor * value).cast("double")).cast("long").alias("limit"))
+    limit = F.floor(factor * value).cast("long")
+    limit = F.when(F.col("rule") == "mean_chars", limit).otherwise(F.least(limit, F.lit(999).cast("long")))
+    return merged.groupBy(*by, "rule").agg(F.max("total").alias("total"), at).select(*by, "rule", "total", limit.alias("limit"))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
@@ -123,7 +122,8 @@ def judged(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "l
         limits = F.broadcast(limits)
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("lang_key")) & F.col("source").eqNullSafe(F.col("source_key")))
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT * F.col("n_words"))
-    failed = F.filter(F.array(*(F.when(_share(*SHARES[r]) > F.col(f"limit_{r}"), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
+    beyond = lambda r: F.expr("{0} * {2} > limit_{3} * {1} + {4}".format(*SHARES[r], r, GUARDS[r] * SHARES[r][2]))
+    failed = F.filter(F.array(*(F.when(beyond(r), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
     out = joined.select("row", *MEASURES, base.alias("base_failed"), failed.alias("failed"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
@@ -142,12 +142,13 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """The same for DuckDB, on the table documents."""
     shares = ", ".join(f"{p} * {k} // greatest({w}, 1) AS {r}" for r, (p, w, k) in SHARES.items())
-    params = ", ".join(f"('{r}', {q!r}, {f!r}, {m})" for r, (q, f, m) in RULES.items())
+    params = ", ".join(f"('{r}', {q!r}, {f!r}, {'NULL' if r == 'mean_chars' else 999})" for r, (q, f) in RULES.items())
+    beyond = " OR ".join(f"(l.rule = '{r}' AND {p} * {k} > lim * {w} + {GUARDS[r] * k})" for r, (p, w, k) in SHARES.items())
     space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
     def level(name: str, by: str) -> str:
         pre = f"{by}, " if by else ""
-        return f"""{name} AS (SELECT {pre}rule, max(total) AS total, CAST(greatest(any_value(m), floor(any_value(f) * CASE WHEN min(b) < 0 THEN 0 ELSE 2 * exp(min(b) * {_LOG_GAMMA!r}) / {math.exp(_LOG_GAMMA) + 1!r} END)) AS BIGINT) AS lim
+        return f"""{name} AS (SELECT {pre}rule, max(total) AS total, CAST(least(any_value(m), floor(any_value(f) * CASE WHEN min(b) < 0 THEN 0 ELSE 2 * exp(min(b) * {_LOG_GAMMA!r}) / {math.exp(_LOG_GAMMA) + 1!r} END)) AS BIGINT) AS lim
             FROM (SELECT {pre}rule, total, q, f, m, CASE WHEN upto > floor(q * (total - 1)) THEN bucket END AS b FROM (
                 SELECT {pre}rule, bucket, sum(n) OVER (PARTITION BY {pre}rule) AS total, sum(n) OVER (PARTITION BY {pre}rule ORDER BY bucket) AS upto FROM (
                     SELECT {pre}rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) JOIN params USING (rule)) GROUP BY {pre}rule)"""
@@ -166,6 +167,6 @@ def oracle_sql() -> str:
     {level('own', 'lang, source')}, {level('wide', 'lang')}, {level('every', '')},
     limits AS (SELECT own.lang, own.source, own.rule, CASE WHEN own.total >= {LEAST_ROWS} THEN own.lim WHEN wide.total >= {LEAST_ROWS} THEN wide.lim ELSE every.lim END AS lim
         FROM own JOIN wide ON own.rule = wide.rule AND own.lang IS NOT DISTINCT FROM wide.lang JOIN every ON own.rule = every.rule),
-    failed AS (SELECT DISTINCT u.i FROM (UNPIVOT shares ON {', '.join(RULES)} INTO NAME rule VALUE v) AS u JOIN limits AS l ON u.rule = l.rule AND u.lang IS NOT DISTINCT FROM l.lang AND u.source IS NOT DISTINCT FROM l.source WHERE v > lim),
+    failed AS (SELECT DISTINCT m.i FROM m JOIN limits AS l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source WHERE {beyond}),
     b AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT} * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed.i IS NULL AS kept FROM b LEFT JOIN failed USING (i)"""

@@ -62,9 +62,18 @@ def test_the_lexicon_does_not_depend_on_partitions(spark, sf, monkeypatch):
     one = bpe.frequent_words(docs.coalesce(1), path)
     assert bpe.frequent_words(docs.repartition(37), path) == one
     library = Counter(w for r in docs.collect() for w in bpe.pre_tokens((r.text or "").encode()) if len(w) <= bpe.LEXICON_BYTES)
-    assert one == sorted(w for w, _ in sorted(library.items(), key=lambda x: (-x[1], x[0]))[: bpe.LEXICON_WORDS])
+    level = lambda n: n if n < 64 else math.floor(math.log2(n) * 64)
+
+    def want(limit):
+        kept = [w for w in library if sum(level(n) >= level(library[w]) for n in library.values()) <= limit] if len(library) > limit else list(library)
+        return sorted(kept)
+
+    assert one == want(bpe.LEXICON_WORDS) and len(one) > 1000
     monkeypatch.setattr(bpe, "COUNT_WORDS", 100)
-    assert bpe.frequent_words(docs.repartition(3), path, limit=500) == sorted(w for w, _ in sorted(library.items(), key=lambda x: (-x[1], x[0]))[:500])
+    library = Counter(dict(library.most_common(3000)))
+    for limit in (10, 500):
+        assert bpe.frequent_words(docs.repartition(3), path, limit=limit) == want(limit)
+    assert bpe.frequent_words(docs.limit(0), path) == []
 
 
 def test_transducer_is_minimal_and_finds_what_it_holds():
@@ -456,11 +465,11 @@ def test_measures_equal_brute_force(spark):
 
 def test_sketch_quantiles_are_accurate_and_merge(spark):
     r = random.Random(1)
-    rows = [("en", f"s{i % 3}", 1000, r.randint(0, 1000), 0, 0, 0, 10, 0) for i in range(3000)]
+    rows = [("en", f"s{i % 3}", 1000, r.randint(0, 200), 0, 0, 0, 10, 0) for i in range(3000)]
     df = spark.createDataFrame(rows, "lang string, source string, word_chars long, n_symbols long, n_words long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long")
     sketch = quality_rules.sketches(df)
     whole = quality_rules.quantiles(sketch, ["lang"]).where("rule = 'symbols'").first()
-    q, factor, _ = quality_rules.RULES["symbols"]
+    q, factor = quality_rules.RULES["symbols"]
     exact = sorted(x[3] for x in rows)[math.floor(q * 2999)]
     assert whole.limit / factor == pytest.approx(exact, rel=2 * quality_rules.ACCURACY) and whole.total == 3000
 

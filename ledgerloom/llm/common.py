@@ -57,6 +57,27 @@ def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> Da
     return df.mapInArrow(function, schema)
 
 
+_written: list = []
+
+
+def remember(spark: SparkSession, path: str) -> str:
+    """``path``, which is removed when the driver's process ends: tables that only this run reads."""
+    if not _written:
+        atexit.register(_sweep)
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p))
+    return path
+
+
+def _sweep() -> None:
+    for fs, path in _written:
+        try:
+            fs.delete(path, True)
+        except Exception:  # the JVM may be gone already; what is left is in the shared folder
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -66,7 +87,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read from there: for wide rows, of which later steps read few columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loom-{uuid.uuid4().hex}"
+    path = remember(spark, f"{shared_dir(spark).rstrip('/')}/loom-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,7 +100,7 @@ def ship(spark: SparkSession, data: bytes, stem: str) -> str:
     """
     name = f"{stem}-{uuid.uuid4().hex}.bin"
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    path = jvm.org.apache.hadoop.fs.Path(remember(spark, f"{shared_dir(spark)}/{name}"))
     out = path.getFileSystem(conf).create(path, True)
     try:
         step = 1 << 20

@@ -9,7 +9,9 @@ class's entropy gives one span, from its first such window to its last. Strings
 on the allow-list (identifiers and placeholders) are suppressed.
 
 Positions are code points, ends exclusive. Null text counts as empty text.
-Repeated rows give repeated results; an empty table gives an empty one.
+Repeated rows give repeated results; an empty table gives an empty one. Texts of
+any length are scanned whole; spans that start at the same place come in the
+order of their kinds.
 """
 
 from __future__ import annotations

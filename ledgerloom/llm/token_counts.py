@@ -13,7 +13,8 @@ Shorter texts of ASCII and Latin letters are split into the tokenizer's words
 first; the library encodes each distinct word once. Words are encoded
 independently of each other, so the sum is that of the whole text.
 
-Null text counts as empty text. Repeated rows give repeated results.
+Null text counts as empty text. Repeated rows give repeated results, an empty
+table an empty one. Rows are counted each for itself, so there are no ties.
 """
 
 from __future__ import annotations

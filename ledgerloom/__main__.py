@@ -1,7 +1,7 @@
 """Command line: run stages on files, or a query on a folder of tables.
 
     python -m ledgerloom clean --transactions t.csv --accounts a.csv --output out [--cutoff 2022-09-11]
-    python -m ledgerloom features --input out --rates rates.parquet --output features [--days 3 --stride 1]
+    python -m ledgerloom features --input out --rates rates.parquet --output features [--days 3 --stride 1] [--resume]
     python -m ledgerloom fraud-rate --input out [--output reports]
     python -m ledgerloom query NAME --input folder [--output path]
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import Config
@@ -31,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument(name, required=True)
     c.add_argument("--days", type=int, default=3)
     c.add_argument("--stride", type=int, default=1)
+    c.add_argument("--resume", action="store_true", help="add the windows that the output lacks")
     c = sub.add_parser("fraud-rate", help="rates by transaction, account and entity")
     c.add_argument("--input", required=True)
     c.add_argument("--output")
@@ -53,9 +55,18 @@ def main(argv: list[str] | None = None) -> int:
             if name not in tx.columns:
                 tx = tx.withColumn(name, default)
         rows = durable(ledger.resolve(ledger.convert(tx, spark.read.parquet(args.rates)), tables.table(spark, args.input, "accounts")))
-        config, within = Config(window_days=args.days, stride_days=args.stride), windows.bounds(rows)
-        out = extract(profiles.nodes(rows, within, config), windows.edges(windows.assign(rows, within, config)), config)
-        tables.write_table(out, args.output, "window_id")
+        config, within = Config(window_days=args.days, stride_days=args.stride), windows.span(windows.bounds(rows))
+
+        def compute(wanted: DataFrame | None) -> DataFrame:
+            nodes, edges = profiles.nodes(rows, within, config), windows.edges(windows.assign(rows, within, config))
+            if wanted is not None:
+                nodes, edges = nodes.join(wanted, "window_id", "left_semi"), edges.join(wanted, "window_id", "left_semi")
+            return extract(nodes, edges, config)
+
+        if args.resume:
+            tables.resume(spark, args.output, windows.calendar(rows, config).select("window_id"), compute)
+        else:
+            tables.write_table(compute(None), args.output, "window_id")
     elif args.command == "fraud-rate":
         tx, accounts = tables.table(spark, args.input, "transactions"), tables.table(spark, args.input, "accounts")
         found = {"transactions": reports.transaction_rate(tx), "accounts": reports.account_rate(tx), "entities": reports.entity_rate(tx, accounts), "fraud_entities": reports.fraud_entities(tx, accounts)}

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DEFAULT
+from ledgerloom.functions.scalar import finite
 
 GROUP = ["window_id", "algorithm"]
 
 
 def long_scores(features: DataFrame, scores: list[str], keep: tuple[str, ...] = ("window_id", "entity_id", "is_fraud")) -> DataFrame:
-    """One row for each score of each row: the columns ``keep``, algorithm and score."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("algorithm"), F.col(c).cast("double").alias("score")) for c in scores))
+    """One row for each score of each row: the columns ``keep``, algorithm and score; 0 for scores that are null, NaN or infinite."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("algorithm"), finite(F.col(c)).alias("score")) for c in scores))
     return features.select(*keep, F.explode(pairs).alias("x")).select(*keep, "x.algorithm", "x.score")
 
 
@@ -35,10 +36,10 @@ def at_k(scores: DataFrame, ks: tuple[int, ...] = DEFAULT.top_k, group: list[str
     k beyond the group's size is left out, or taken as that size with ``clamp``.
     Lift is null where nothing is flagged.
     """
-    totals = F.count("*").over(Window.partitionBy(*group)).alias("n"), F.sum("is_fraud").over(Window.partitionBy(*group)).alias("positives")
-    rows = ranked(scores, group).select(*group, "is_fraud", "rank", *totals)
-    # sums at each k come from one pass: a row counts for every k that its rank is within
-    sums = rows.groupBy(*group).agg(F.max("n").alias("n"), F.max("positives").alias("positives"), *(F.sum(F.when(F.col("rank") <= k, F.col("is_fraud")).otherwise(0)).alias(f"f{k}") for k in ks))
+    # ranks beyond the largest k are dropped before the shuffle; totals are partial sums
+    top = ranked(scores, group).where(F.col("rank") <= max(ks))
+    found = top.groupBy(*group).agg(*(F.sum(F.when(F.col("rank") <= k, F.col("is_fraud")).otherwise(0)).alias(f"f{k}") for k in ks))
+    sums = scores.groupBy(*group).agg(F.count("*").alias("n"), F.sum("is_fraud").alias("positives")).join(found, group)
     each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"f{k}").cast("long").alias("fraud_found")) for k in ks))).alias("x")
     out = sums.select(*group, "n", "positives", each).select(*group, "n", "positives", "x.*")
     out = out.withColumn("of", F.least("k", "n")) if clamp else out.where("k <= n").withColumn("of", F.col("k"))
@@ -48,11 +49,21 @@ def at_k(scores: DataFrame, ks: tuple[int, ...] = DEFAULT.top_k, group: list[str
 
 
 def curves(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """group, score, tp and fp at and above it, and the group's pos and neg: one row for each distinct score."""
+    """group, score, tp and fp at and above it, and the group's pos and neg: one row for each distinct score.
+
+    Scores are binned by their logarithm, in order. Sums run over a group's few
+    bins first, and then within each bin, so that no task sorts a whole group.
+    """
     steps = scores.groupBy(*group, "score").agg(F.sum("is_fraud").alias("p"), F.sum(1 - F.col("is_fraud")).alias("q"))
-    down = Window.partitionBy(*group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*group)
-    return steps.select(*group, "score", "p", "q", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(all_).alias("pos"), F.sum("q").over(all_).alias("neg"))
+    size = F.abs("score")
+    steps = steps.withColumn("bin", F.when(size > 0, F.signum("score") * (F.floor(F.log(size) * 32) + 100_000)).otherwise(0.0).cast("int"))
+    bins = steps.groupBy(*group, "bin").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"))
+    above = Window.partitionBy(*group).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    all_, zero = Window.partitionBy(*group), F.lit(0).cast("long")
+    sums = [F.coalesce(F.sum("bp").over(above), zero).alias("ap"), F.coalesce(F.sum("bq").over(above), zero).alias("aq"), F.sum("bp").over(all_).alias("pos"), F.sum("bq").over(all_).alias("neg")]
+    down = Window.partitionBy(*group, "bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = steps.select("*", F.sum("p").over(down).alias("wp"), F.sum("q").over(down).alias("wq")).join(bins.select(*group, "bin", *sums), [*group, "bin"])
+    return rows.select(*group, "score", "p", "q", (F.col("wp") + F.col("ap")).alias("tp"), (F.col("wq") + F.col("aq")).alias("fp"), "pos", "neg")
 
 
 def roc_auc(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -129,3 +140,13 @@ def summary(by_window: DataFrame, measures: tuple[str, ...] = ("accuracy", "prec
 def pivoted(metrics: DataFrame, features: list[str], value: str = "auprc") -> DataFrame:
     """A row for each window and a column for each feature, named beforehand so that no pass finds the names."""
     return metrics.groupBy("window_id").pivot("feature", features).agg(F.first(value))
+
+
+def window_metrics(predictions: DataFrame, ks: tuple[int, ...] = (100, 200, 300, 500)) -> DataFrame:
+    """By window with both labels: accuracy, precision, recall, f1_score, auprc, roc_auc and P_at_k (clamped) of predictions (y_true, y_prob, y_pred)."""
+    group = ["window_id"]
+    scores = two_classes(predictions.select("window_id", "entity_id", F.col("y_true").alias("is_fraud"), F.col("y_prob").alias("score"), "y_pred"))
+    labels = confusion(scores, group, "is_fraud", "y_pred").select("window_id", "accuracy", "precision", "recall", F.col("f1").alias("f1_score"))
+    p = at_k(scores, ks, group, clamp=True).groupBy(*group).agg(*(F.max(F.when(F.col("k") == k, F.col("precision"))).alias(f"P_at_{k}") for k in ks))
+    areas = average_precision(scores, group).withColumnRenamed("average_precision", "auprc").join(roc_auc(scores, group), group)
+    return labels.join(areas, group).join(p, group)

@@ -2,13 +2,14 @@
 
 Windows are independent graphs. A window whose edges fit in a Python worker
 (``Config.local_edges``) goes to one as a whole and is worked on with numpy;
-PageRank, HITS, k-core and components of larger windows run as distributed
-loops, with each round's table checkpointed. Both ways agree; the tests compare
-them. Communities and betweenness have the local way only.
+PageRank, HITS, k-core, components and betweenness of larger windows run as
+distributed loops, with each round's table checkpointed. Both ways agree; the
+tests compare them. Communities of larger windows are their components.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -276,17 +277,49 @@ def _betweenness(g: Graph, pivots: np.ndarray) -> np.ndarray:
     return total
 
 
-def betweenness(edges: DataFrame, config: Config = DEFAULT, seed: int = 42) -> DataFrame:
-    """betweenness on shortest paths by hops, from ``pivots`` sampled entities (all, if there are no more), scaled to all and normalised."""
+def _order(window: int, entity: object, seed: int) -> str:
+    return hashlib.md5(f"{window}:{entity}:{seed}".encode()).hexdigest()
 
-    def one(window: int, part: pd.DataFrame) -> pd.DataFrame:
-        g = Graph(part)
-        k = min(config.pivots, g.n)
-        pivots = np.arange(g.n) if k == g.n else np.sort(np.random.default_rng([seed, window]).choice(g.n, k, replace=False))
-        scale = g.n / k / ((g.n - 1) * (g.n - 2)) if g.n > 2 else 0.0
-        return g.frame(window, betweenness=_betweenness(g, pivots) * scale)
 
-    return per_window(edges, one, "betweenness double")
+def betweenness(edges: DataFrame, config: Config = DEFAULT, seed: int = 42, local: bool | None = None) -> DataFrame:
+    """betweenness on shortest paths by hops, from the ``pivots`` entities with the smallest hash (all, if there are no more), scaled to all and normalised."""
+    if fits(edges, config) if local is None else local:
+
+        def one(window: int, part: pd.DataFrame) -> pd.DataFrame:
+            g = Graph(part)
+            k = min(config.pivots, g.n)
+            pivots = np.array(sorted(range(g.n), key=lambda i: _order(window, g.ids[i], seed))[:k])
+            scale = g.n / k / ((g.n - 1) * (g.n - 2)) if g.n > 2 else 0.0
+            return g.frame(window, betweenness=_betweenness(g, np.sort(pivots)) * scale)
+
+        return per_window(edges, one, "betweenness double")
+    e = durable(edges.where("source <> target").select(W, "source", "target"))
+    nodes = durable(edges.select(W, F.explode(F.array("source", "target")).alias("entity_id")).distinct())
+    order = Window.partitionBy(W).orderBy(F.md5(F.concat_ws(":", W, "entity_id", F.lit(seed))))
+    pivots = nodes.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= config.pivots)
+    # forward: a level holds, for each pivot, the entities at that distance and the number of shortest paths to them
+    level = durable(pivots.select(W, F.col("entity_id").alias("pivot"), F.col("entity_id").alias("source"), F.lit(1.0).alias("paths")))
+    levels, seen = [level], level.select(W, "pivot", "source")
+    while True:
+        grown = level.join(e, [W, "source"]).groupBy(W, "pivot", F.col("target").alias("source")).agg(F.sum("paths").alias("paths"))
+        level = durable(grown.join(seen, [W, "pivot", "source"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = durable(seen.unionAll(level.select(W, "pivot", "source")))
+    # backward: an entity passes on to those before it a share of what it has, by their paths
+    gains = levels[-1].withColumn("gain", F.lit(0.0))
+    total = gains.limit(0)
+    for before in reversed(levels[:-1]):
+        total = total.unionByName(gains)
+        to = gains.select(W, "pivot", F.col("source").alias("target"), F.col("paths").alias("to_paths"), "gain").join(e, [W, "target"])
+        given = to.join(before, [W, "pivot", "source"]).groupBy(W, "pivot", "source").agg(F.sum(F.col("paths") / F.col("to_paths") * (1 + F.col("gain"))).alias("gain"))
+        gains = durable(before.join(given, [W, "pivot", "source"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0))))
+    n = nodes.groupBy(W).agg(F.count("*").alias("n"))
+    sums = total.groupBy(W, F.col("source").alias("entity_id")).agg(F.sum("gain").alias("gain"))
+    k = F.least(F.col("n"), F.lit(config.pivots))
+    scale = F.when(F.col("n") > 2, F.col("n") / k / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0)
+    return nodes.join(n, W).join(sums, [W, "entity_id"], "left").select(W, "entity_id", (F.coalesce("gain", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 # Communities.
@@ -373,8 +406,11 @@ def modularity_of(a: np.ndarray, b: np.ndarray, community: np.ndarray) -> float:
     return float((community[a] == community[b]).sum() / len(a) - ((degree / len(a)) ** 2).sum())
 
 
-def communities(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """leiden_id (numbered from 0 by smallest entity), leiden_size and leiden_modularity (of the window's whole partition)."""
+def communities(edges: DataFrame, gamma: float = 1.0, config: Config = DEFAULT, local: bool | None = None) -> DataFrame:
+    """leiden_id (numbered from 0 by smallest entity), leiden_size and leiden_modularity (of the window's whole partition).
+
+    Windows of more than ``Config.local_edges`` edges have their components as communities.
+    """
 
     def one(window: int, part: pd.DataFrame) -> pd.DataFrame:
         g = Graph(part)
@@ -384,7 +420,19 @@ def communities(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
         number = np.argsort(np.argsort(first))[back]
         return g.frame(window, leiden_id=number.astype(np.int64), leiden_size=np.bincount(number)[number].astype(np.int64), leiden_modularity=np.full(g.n, modularity_of(a, b, number)))
 
-    return per_window(edges, one, "leiden_id long, leiden_size long, leiden_modularity double")
+    schema = "leiden_id long, leiden_size long, leiden_modularity double"
+    if fits(edges, config) if local is None else local:
+        return per_window(edges, one, schema)
+    most = -1 if local is False else config.local_edges
+    large = durable(edges.groupBy(W).count().where(F.col("count") > most).select(W))
+    wide = durable(edges.join(large, W, "left_semi"))
+    found = durable(components(wide, config, local=False))
+    sizes = found.groupBy(W, "component_id").agg(F.count("*").alias("leiden_size"))
+    numbered = sizes.withColumn("leiden_id", (F.row_number().over(Window.partitionBy(W).orderBy("component_id")) - 1).cast("long"))
+    quality = modularity(wide, found).withColumnRenamed("modularity", "leiden_modularity")
+    rows = found.join(numbered, [W, "component_id"]).join(quality, W, "left")
+    rows = rows.select(W, "entity_id", "leiden_id", "leiden_size", F.coalesce("leiden_modularity", F.lit(0.0)).alias("leiden_modularity"))
+    return per_window(edges.join(large, W, "left_anti"), one, schema).unionByName(rows)
 
 
 def modularity(edges: DataFrame, labels: DataFrame, label: str = "component_id") -> DataFrame:

@@ -71,30 +71,49 @@ def cycles(edges: DataFrame, length: int = DEFAULT.cycle_length, config: Config
 
 
 def egonets(edges: DataFrame) -> DataFrame:
-    """Entity with its successors: nodes, edges among them, density, and total volume."""
+    """Entity with its successors: nodes, edges among them, density, and total volume.
+
+    Edges between two successors close a triangle with the ego, so they are read
+    off the triangles, each found once from its end with the fewest neighbours;
+    all others touch the ego or are self-loops of a successor. No row is made for
+    each path over a hub.
+    """
     e = edges.select(W, "source", "target", F.coalesce("volume", F.lit(0.0)).alias("volume"))
-    egos = degrees(edges).select(W, F.col("entity_id").alias("ego"))
-    members = egos.select(W, "ego", F.col("ego").alias("member")).unionAll(e.where("source <> target").select(W, F.col("source").alias("ego"), F.col("target").alias("member")))
-    inner = members.join(e, (members[W] == e[W]) & (members["member"] == e["source"])).select(members[W], "ego", "target", "volume")
-    inner = inner.join(members.withColumnRenamed("member", "target"), [W, "ego", "target"], "left_semi")
-    n = members.groupBy(W, "ego").agg(F.count("*").alias("n"))
-    m = inner.groupBy(W, "ego").agg(F.count("*").alias("m"), F.sum("volume").alias("volume"))
-    both = n.join(m, [W, "ego"], "left")
-    edges_n = F.coalesce("m", F.lit(0))
-    density = F.when(F.col("n") > 1, edges_n / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
-    return both.select(W, F.col("ego").alias("entity_id"), F.col("n").alias("egonet_node_count"), edges_n.alias("egonet_edge_count"), density.alias("egonet_density"), F.coalesce("volume", F.lit(0.0)).alias("egonet_total_weight"))
+    loops = e.where("source = target").select(W, F.col("source").alias("target"), F.col("volume").alias("loop"))
+    pairs = _pairs(edges)
+    both = pairs.where("ways = 2").select(W, "a", "b", "ab", "ba")
+    # to the ego: its edges out, its own loop, edges back from successors, and their loops
+    one = F.lit(1).cast("long")
+    out = e.select(W, F.col("source").alias("ego"), one.alias("m"), "volume", (F.col("source") != F.col("target")).cast("long").alias("n"))
+    back = both.select(W, F.explode(F.array(F.struct(F.col("a").alias("ego"), F.col("ba").alias("volume")), F.struct(F.col("b").alias("ego"), F.col("ab").alias("volume")))).alias("x"))
+    back = back.select(W, "x.ego", one.alias("m"), "x.volume", F.lit(0).cast("long").alias("n"))
+    theirs = e.where("source <> target").join(loops, [W, "target"]).select(W, F.col("source").alias("ego"), one.alias("m"), F.col("loop").alias("volume"), F.lit(0).cast("long").alias("n"))
+    # x, y, z: an ego that has edges to both others gets the edges between them
+    t = triangles_of(pairs)
+
+    def seen(ego: str, a: str, b: str) -> list:
+        ok = F.col(ego + a).isNotNull() & F.col(ego + b).isNotNull()
+        return [F.when(ok & F.col(c).isNotNull(), F.struct(F.col(ego).alias("ego"), F.col(c).alias("volume"))) for c in (a + b, b + a)]
+
+    inner = t.select(W, F.explode(F.filter(F.array(*seen("x", "y", "z"), *seen("y", "x", "z"), *seen("z", "x", "y")), lambda s: s.isNotNull())).alias("s"))
+    inner = inner.select(W, "s.ego", one.alias("m"), "s.volume", F.lit(0).cast("long").alias("n"))
+    ends = degrees(edges).select(W, F.col("entity_id").alias("ego"), F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("volume"), one.alias("n"))
+    sums = ends.unionAll(out).unionAll(back).unionAll(theirs).unionAll(inner).groupBy(W, "ego").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("volume").alias("volume"))
+    density = F.when(F.col("n") > 1, F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
+    return sums.select(W, F.col("ego").alias("entity_id"), F.col("n").alias("egonet_node_count"), F.col("m").alias("egonet_edge_count"), density.alias("egonet_density"), F.col("volume").alias("egonet_total_weight"))
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
-    """Undirected pairs a < b with the sum of the cube roots of both directions' volumes over the window's largest."""
+    """Undirected pairs a < b: the volumes ab and ba (null without that edge), their number, and g, the sum of the cube roots of both over the window's largest."""
     e = edges.select(W, "source", "target", F.coalesce("volume", F.lit(0.0)).alias("volume"))
     top = e.groupBy(W).agg(F.max("volume").alias("top"))
     scaled = e.where("source <> target").join(top, W).withColumn("g", F.cbrt(F.coalesce(F.try_divide("volume", "top"), F.lit(0.0))))
-    return scaled.groupBy(W, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("g").alias("g"), F.count("*").alias("ways"))
+    way = lambda a, b: F.max(F.when(F.col("source") == F.least("source", "target"), F.col("volume")) if a < b else F.when(F.col("source") == F.greatest("source", "target"), F.col("volume"))).alias(a + b)
+    return scaled.groupBy(W, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("g").alias("g"), F.count("*").alias("ways"), way("a", "b"), way("b", "a"))
 
 
 def triangles_of(pairs: DataFrame) -> DataFrame:
-    """window_id, x, y, z and p, the product of the three weights, once for each triangle.
+    """window_id, x, y, z, the volumes xy, yx, xz, zx, yz, zy (null without that edge) and p, the product of the three weights, once for each triangle.
 
     Pairs point from the end with fewer neighbours to the other, so the wedges
     at a hub are those of its few out-edges.
@@ -104,13 +123,13 @@ def triangles_of(pairs: DataFrame) -> DataFrame:
     r = pairs.join(n.select(W, F.col("x").alias("a"), F.col("n").alias("na")), [W, "a"]).join(n.select(W, F.col("x").alias("b"), F.col("n").alias("nb")), [W, "b"])
     first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     at = lambda c, k: F.struct(F.col(f"n{c}").alias("n"), F.col(c).alias("id")).alias(k)
-    o = r.select(W, F.when(first, at("a", "s")).otherwise(at("b", "s")).alias("s"), F.when(first, at("b", "t")).otherwise(at("a", "t")).alias("t"), "g")
-    one = o.select(W, "s", F.col("t").alias("m"), F.col("g").alias("g1"))
-    two = o.select(W, "s", F.col("t").alias("t2"), F.col("g").alias("g2"))
+    o = r.select(W, F.when(first, at("a", "s")).otherwise(at("b", "s")).alias("s"), F.when(first, at("b", "t")).otherwise(at("a", "t")).alias("t"), "g", F.when(first, F.col("ab")).otherwise(F.col("ba")).alias("st"), F.when(first, F.col("ba")).otherwise(F.col("ab")).alias("ts"))
+    one = o.select(W, "s", F.col("t").alias("m"), F.col("g").alias("g1"), F.col("st").alias("xy"), F.col("ts").alias("yx"))
+    two = o.select(W, "s", F.col("t").alias("t2"), F.col("g").alias("g2"), F.col("st").alias("xz"), F.col("ts").alias("zx"))
     wedges = one.join(two, [W, "s"]).where("m < t2")
-    third = o.select(W, F.col("s").alias("m"), F.col("t").alias("t2"), F.col("g").alias("g3"))
+    third = o.select(W, F.col("s").alias("m"), F.col("t").alias("t2"), F.col("g").alias("g3"), F.col("st").alias("yz"), F.col("ts").alias("zy"))
     closed = wedges.join(third, [W, "m", "t2"])
-    return closed.select(W, F.col("s.id").alias("x"), F.col("m.id").alias("y"), F.col("t2.id").alias("z"), (F.col("g1") * F.col("g2") * F.col("g3")).alias("p"))
+    return closed.select(W, F.col("s.id").alias("x"), F.col("m.id").alias("y"), F.col("t2.id").alias("z"), "xy", "yx", "xz", "zx", "yz", "zy", (F.col("g1") * F.col("g2") * F.col("g3")).alias("p"))
 
 
 def triangle_counts(edges: DataFrame) -> DataFrame:

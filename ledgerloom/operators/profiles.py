@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import DEFAULT, FORMATS, Config
-from ledgerloom.operators.windows import assign, time_spread
+from ledgerloom.operators.windows import assign, span, time_spread
 
 KEYS = ["window_id", "window_start", "window_end", "entity_id"]
 
@@ -45,6 +45,7 @@ def temporal_fan(resolved: DataFrame, within: DataFrame, config: Config = DEFAUL
 
 def nodes(resolved: DataFrame, within: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The profile of each entity in each window: degrees, volumes, counts, currencies, formats, fraud, daily fans."""
+    within = span(within) if isinstance(within, DataFrame) else within
     assigned = assign(resolved, within, config)
     joined = sent(assigned).join(received(assigned), KEYS, "full")
     for more in (fraud(assigned), temporal_fan(resolved, within, config), temporal_fan(resolved, within, config, outgoing=False)):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import lift_percent, size_band
-from ledgerloom.functions.stats import paired_t
+from ledgerloom.functions.stats import p_value, paired_t
 
 MOTIFS = ("fan_out_count", "fan_in_count", "scatter_gather_count", "gather_scatter_count", "cycle_count")
 
@@ -103,9 +103,29 @@ def fraud_rings(stats: DataFrame) -> DataFrame:
 
 
 def top_communities(stats: DataFrame, k: int = 10, least: int = 3) -> DataFrame:
-    """The k communities of each window with the highest rates, of ``least`` entities or more."""
+    """The k communities of each window with the highest rates, of ``least`` entities or more, with their lift over the window's rate."""
     order = Window.partitionBy("window_id").orderBy(F.desc("fraud_rate"), F.desc("size"), "community")
-    return stats.where(F.col("size") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = _with_window(stats).where(F.col("size") >= least).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    lift = F.coalesce(F.try_divide("fraud_rate", F.col("window_fraud") / F.col("window_nodes")), F.lit(0.0))
+    return top.select("window_id", "rank", "community", "size", "fraud_count", "fraud_rate", lift.alias("lift"))
+
+
+def concentration(members: DataFrame, label: str) -> DataFrame:
+    """How far communities concentrate fraud, by window: communities, those with fraud and their mean rate, those of nothing else, and entities for each community. Entities whose community is -1 have none and are left out."""
+    stats = community_stats(members.where(F.col(label) != -1), label)
+    n = stats.groupBy("window_id").agg(
+        F.sum("size").alias("nodes"),
+        F.sum("fraud_count").alias("fraud"),
+        F.count("*").alias("communities"),
+        F.count_if(F.col("fraud_count") > 0).alias("with_fraud"),
+        F.count_if(F.col("fraud_rate") == 1.0).alias("fraud_only"),
+        F.avg(F.when(F.col("fraud_count") > 0, F.col("fraud_rate"))).alias("mean_rate_with_fraud"),
+        F.avg("size").alias("mean_size"),
+        F.stddev_samp("size").alias("std_size"),
+        F.min("size").alias("least_size"),
+        F.max("size").alias("most_size"),
+    )
+    return n.withColumns({"fraud_rate": F.col("fraud") / F.col("nodes"), "with_fraud_share": F.col("with_fraud") / F.col("communities"), "communities_pct": 100.0 * F.col("communities") / F.col("nodes")})
 
 
 def metric_summary(metrics: DataFrame) -> DataFrame:
@@ -122,8 +142,10 @@ def ablation(base: DataFrame, full: DataFrame, measures: tuple[str, ...]) -> Dat
     return b.join(f, "window_id").select("window_id", *cols)
 
 
-def ablation_tests(deltas: DataFrame, measures: tuple[str, ...]) -> DataFrame:
-    """By measure: the paired t statistic of base minus full (against the sign of the deltas), and its degrees of freedom."""
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"base_{m}").alias("b"), F.col(f"full_{m}").alias("f")) for m in measures))).alias("x")
+def ablation_tests(deltas: DataFrame, measures: tuple[str, ...], alpha: float = 0.05) -> DataFrame:
+    """By measure: mean and standard deviation of full minus base, the paired t statistic of base minus full (against the sign of the deltas) with its degrees of freedom and two-sided p-value, and whether that is below ``alpha``."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"base_{m}").cast("double").alias("b"), F.col(f"full_{m}").cast("double").alias("f")) for m in measures))).alias("x")
     t, df = paired_t(F.col("b"), F.col("f"))
-    return deltas.select(each).select("x.*").groupBy("measure").agg(F.avg(F.col("f") - F.col("b")).alias("mean_delta"), t.alias("t_statistic"), df.alias("df"))
+    d = F.col("f") - F.col("b")
+    found = deltas.select(each).select("x.*").groupBy("measure").agg(F.avg(d).alias("mean_delta"), F.stddev_samp(d).alias("std_delta"), t.alias("t_statistic"), df.alias("df"))
+    return found.withColumn("p_value", F.when(F.col("t_statistic").isNotNull(), p_value(F.col("t_statistic"), F.col("df")))).withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))

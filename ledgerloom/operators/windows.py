@@ -9,6 +9,8 @@ left out.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,26 +18,31 @@ from ledgerloom.config import DEFAULT, Config
 from ledgerloom.functions.scalar import epoch_seconds
 
 
-def bounds(rows: DataFrame, date: str = "tx_date") -> DataFrame:
-    return rows.agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+def bounds(rows: DataFrame, day: str = "tx_date") -> DataFrame:
+    return rows.agg(F.min(day).alias("first_date"), F.max(day).alias("last_date"))
 
 
-def calendar(rows: DataFrame, config: Config = DEFAULT, date: str = "tx_date") -> DataFrame:
+def calendar(rows: DataFrame, config: Config = DEFAULT, day: str = "tx_date") -> DataFrame:
     """window_id, window_start, window_end (not included)."""
     size, stride = config.window_days, config.stride_days
     last_start = F.date_sub("last_date", size - 1)
     starts = F.when(last_start >= F.col("first_date"), F.sequence(F.col("first_date"), last_start, F.expr(f"interval {stride} day")))
-    days = bounds(rows, date).select(F.posexplode(starts).alias("window_id", "window_start"))
+    days = bounds(rows, day).select(F.posexplode(starts).alias("window_id", "window_start"))
     return days.select(F.col("window_id").cast("long").alias("window_id"), "window_start", F.date_add("window_start", size).alias("window_end"))
 
 
-def assign(rows: DataFrame, within: DataFrame, config: Config = DEFAULT, date: str = "tx_date") -> DataFrame:
-    """``rows`` once for each window that holds their date, with window_id, window_start and window_end. ``within``: the result of ``bounds``."""
+def span(within: DataFrame) -> tuple[date | None, date | None]:
+    """The two dates of ``bounds``, found once: in a plan, each use of them would read the rows again."""
+    return tuple(within.first())
+
+
+def assign(rows: DataFrame, within: DataFrame | tuple[date | None, date | None], config: Config = DEFAULT, day: str = "tx_date") -> DataFrame:
+    """``rows`` once for each window that holds their date, with window_id, window_start and window_end. ``within``: the result of ``bounds`` or ``span``."""
     size, stride = config.window_days, config.stride_days
-    first, last = within.select("first_date").scalar(), within.select("last_date").scalar()
-    day = F.datediff(F.col(date), first)
-    least = F.greatest(F.lit(0), F.ceil((day - (size - 1)) / stride).cast("int"))
-    most = F.least(F.floor(day / stride), F.floor((F.datediff(last, first) - (size - 1)) / stride)).cast("int")
+    first, last = (F.lit(d).cast("date") for d in (span(within) if isinstance(within, DataFrame) else within))
+    at = F.datediff(F.col(day), first)
+    least = F.greatest(F.lit(0), F.ceil((at - (size - 1)) / stride).cast("int"))
+    most = F.least(F.floor(at / stride), F.floor((F.datediff(last, first) - (size - 1)) / stride)).cast("int")
     numbers = F.when(most >= least, F.sequence(least.cast("long"), most.cast("long")))
     out = rows.withColumn("window_id", F.explode(numbers))
     start = F.date_add(first, (F.col("window_id") * stride).cast("int"))

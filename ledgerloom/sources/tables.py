@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,14 +57,50 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def _file(path: str):
+    """Path and file system of ``path`` as the session's cluster sees them."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark._jvm
+
+
 def write_json(value: object, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, sort_keys=True)
+    """One JSON file, wherever Spark can write; for small values."""
+    p, fs, _ = _file(path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
 
 
 def read_json(path: str) -> object:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    p, fs, jvm = _file(path)
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+    finally:
+        stream.close()
+
+
+def write_array(array: np.ndarray, path: str) -> None:
+    """A matrix that the driver holds, as a Parquet table of its rows."""
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(np.atleast_2d(array))]
+    write_table(SparkSession.active().createDataFrame(rows, "row long, x array<double>"), path)
+
+
+def read_array(path: str) -> np.ndarray:
+    return np.array([r.x for r in SparkSession.active().read.parquet(path).orderBy("row").collect()])
+
+
+def log_tee(path: str, name: str = "ledgerloom") -> logging.Logger:
+    """A logger that writes to the terminal and to a file of the driver."""
+    logger = logging.getLogger(name)
+    logger.setLevel(logging.INFO)
+    for handler in (logging.StreamHandler(), logging.FileHandler(path, encoding="utf-8")):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+        logger.addHandler(handler)
+    return logger
 
 
 def resume(spark: SparkSession, path: str, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "window_id") -> DataFrame:

@@ -16,8 +16,8 @@ from ledgerloom.sources.tables import up_to
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-#: Scores that the ranking queries evaluate, with the decimals that make them the same in every engine.
-SCORES = {"vol_sent": 6, "vol_recv": 6, "degree": 0, "in_degree": 0, "out_degree": 0, "tx_count": 0, "time_variance": 3, "temporal_fan_out_count": 0, "temporal_fan_in_count": 0}
+#: Scores that SQL can rank too: those of the profiles, with the decimals that make them the same in every engine.
+SCORES = {c: {"vol_sent": 6, "vol_recv": 6, "time_variance": 3}.get(c, 0) for c in (*(c for c in features.RANKED if c in features.BEHAVIOURAL or c in ("in_degree", "out_degree")), "degree", "temporal_fan_out_count", "temporal_fan_in_count")}
 CUTOFF = "2024-01-20"
 
 
@@ -47,17 +47,13 @@ def assigned(spark: SparkSession, sf: str, config: Config = DEFAULT) -> DataFram
     return windows.assign(rows, windows.bounds(rows), config)
 
 
-def edges(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
-    rows = resolved(spark, sf)
-    within = windows.bounds(rows)
-    if only:
-        rows = rows.where(F.col("event_type") == only)
-    return windows.edges(windows.assign(rows, within))
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.edges(assigned(spark, sf))
 
 
-def edges_once(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
+def edges_once(spark: SparkSession, sf: str) -> DataFrame:
     """The edges, computed once: for operators that read them several times, which would else aggregate the transfers anew each time."""
-    return durable(edges(spark, sf, only))
+    return durable(edges(spark, sf))
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,18 +66,24 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return durable(evaluate.long_scores(n, list(SCORES)))
 
 
-def all_scores(spark: SparkSession, sf: str) -> DataFrame:
+def all_scores(spark: SparkSession, sf: str, columns: tuple[str, ...] = features.RANKED) -> DataFrame:
     """The scores of profiles and those of the graph."""
-    columns = list(dict.fromkeys([*SCORES, *features.TOPOLOGICAL]))
-    n = rounded(feature_table(spark, sf), **{c: d for c, d in SCORES.items() if d})
-    return durable(evaluate.long_scores(n, columns))
+    return durable(evaluate.long_scores(feature_table(spark, sf), list(columns)))
+
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    return profiles.fraud(assigned(spark, sf))
 
-def members(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
+
+def members(spark: SparkSession, sf: str) -> DataFrame:
     """Entities of the graph with their component and label."""
-    rows = resolved(spark, sf)
-    marks = profiles.fraud(windows.assign(rows, windows.bounds(rows)))
-    return iterative.components(edges_once(spark, sf, only)).join(marks, ["window_id", "entity_id"])
+    return iterative.components(edges_once(spark, sf)).join(labels(spark, sf), ["window_id", "entity_id"])
+
+
+def leiden_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of the profiles with their Leiden community (-1 without one) and label."""
+    found = iterative.communities(edges_once(spark, sf), 1.0).withColumnRenamed("leiden_id", "leiden_macro_id")
+    return features.join_features(labels(spark, sf), [found.select("window_id", "entity_id", "leiden_macro_id")])
 
 
 # Relational core.
@@ -144,7 +146,8 @@ def entity_fraud(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def temporal_fan(spark: SparkSession, sf: str) -> DataFrame:
     rows = resolved(spark, sf)
-    both = [profiles.temporal_fan(rows, windows.bounds(rows), outgoing=o) for o in (True, False)]
+    within = windows.span(windows.bounds(rows))
+    both = [profiles.temporal_fan(rows, within, outgoing=o) for o in (True, False)]
     n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return both[0].join(both[1], ["window_id", "entity_id"], "full").select("window_id", "entity_id", n("temporal_fan_out_count"), n("temporal_fan_in_count"))
 
@@ -180,7 +183,7 @@ def fraud_entities(spark: SparkSession, sf: str) -> DataFrame:
     return reports.fraud_entities(fixture.ledger(spark, sf), fixture.accounts(spark, sf))
 
 
-# Graph operators. The names that end in _all take every transfer; the same names without it keep to purchases, as their SQL does.
+# Graph operators.
 
 
 @query
@@ -200,11 +203,6 @@ def cycles_le3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cycles_le6(spark: SparkSession, sf: str) -> DataFrame:
-    return motifs.cycles(edges_once(spark, sf, "purchase"), 6)
-
-
-@query
-def cycles_le6_all(spark: SparkSession, sf: str) -> DataFrame:
     return motifs.cycles(edges_once(spark, sf), 6)
 
 
@@ -251,32 +249,16 @@ def pagerank_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    """After 20 rounds, as its SQL."""
-    return rounded(iterative.hits(edges_once(spark, sf), rounds=20), hits_hub=8, hits_auth=8)
-
-
-@query
-def hits_converged(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(iterative.hits(edges_once(spark, sf)), hits_hub=8, hits_auth=8)
 
 
 @query
 def k_core(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.k_core(edges_once(spark, sf, "purchase"))
-
-
-@query
-def k_core_all(spark: SparkSession, sf: str) -> DataFrame:
     return iterative.k_core(edges_once(spark, sf))
 
 
 @query
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.components(edges_once(spark, sf, "purchase"))
-
-
-@query
-def components_all(spark: SparkSession, sf: str) -> DataFrame:
     return iterative.components(edges_once(spark, sf))
 
 
@@ -287,11 +269,6 @@ def _modularity(e: DataFrame) -> DataFrame:
 
 @query
 def modularity(spark: SparkSession, sf: str) -> DataFrame:
-    return _modularity(edges_once(spark, sf, "purchase"))
-
-
-@query
-def modularity_all(spark: SparkSession, sf: str) -> DataFrame:
     return _modularity(edges_once(spark, sf))
 
 
@@ -333,18 +310,18 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.average_precision(scores(spark, sf)), average_precision=6)
 
 
-# The names that end in _all have every K and the scores of the graph; the others keep to those of their SQL.
+# The names that end in _all rank the scores of the graph too; the others those that SQL has.
 
 
 @query
 def ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    m = evaluate.ranking_metrics(scores(spark, sf), (1, 10, 100))
+    m = evaluate.ranking_metrics(scores(spark, sf))
     return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
 
 
 @query
 def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
-    m = reports.metric_summary(evaluate.ranking_metrics(scores(spark, sf), (10,)))
+    m = reports.metric_summary(evaluate.ranking_metrics(scores(spark, sf)))
     return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
 
 
@@ -354,22 +331,30 @@ def heuristic_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
 
 
+def _doubles(m: DataFrame, digits: int = 6) -> DataFrame:
+    return rounded(m, **{f.name: digits for f in m.schema if f.dataType.simpleString() == "double"})
+
+
 @query
 def ranking_metrics_all(spark: SparkSession, sf: str) -> DataFrame:
-    m = evaluate.ranking_metrics(all_scores(spark, sf), DEFAULT.top_k)
-    return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
+    """All 38 scores at all six K."""
+    return _doubles(evaluate.ranking_metrics(all_scores(spark, sf)))
 
 
 @query
 def metric_summary_all(spark: SparkSession, sf: str) -> DataFrame:
-    m = reports.metric_summary(evaluate.ranking_metrics(all_scores(spark, sf), DEFAULT.top_k))
-    return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
+    return _doubles(reports.metric_summary(evaluate.ranking_metrics(all_scores(spark, sf))))
 
 
 @query
 def heuristic_metrics_all(spark: SparkSession, sf: str) -> DataFrame:
-    m = evaluate.heuristic_metrics(all_scores(spark, sf))
-    return rounded(m, **{f.name: 6 for f in m.schema if f.dataType.simpleString() == "double"})
+    """All 19 features of the graph that are judged by themselves."""
+    return _doubles(evaluate.heuristic_metrics(all_scores(spark, sf, features.HEURISTICS)))
+
+
+@query
+def heuristic_stats_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _doubles(evaluate.heuristic_stats(evaluate.heuristic_metrics(all_scores(spark, sf, features.HEURISTICS))))
 
 
 @query
@@ -423,22 +408,28 @@ def fwd_chain_split(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("window_id", "test_rows", "test_fraud", F.sum("test_rows").over(before).alias("train_rows"), F.sum("test_fraud").over(before).alias("train_fraud")).where("window_id >= 2")
 
 
-ABLATION = ("accuracy", "precision", "recall", "f1")
+#: Measures that an ablation compares.
+ABLATION = ("accuracy", "precision", "recall", "f1_score", "roc_auc", "auprc", "P_at_100", "P_at_200", "P_at_300", "P_at_500")
+
+
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    """The score by volume sent as the base and by degree as the full model, window by window."""
+    s = scores(spark, sf).where(F.col("algorithm").isin("vol_sent", "degree"))
+    joined = s.join(evaluate.calibrate(s), ["window_id", "algorithm"])
+    predicted = durable(joined.select("window_id", "algorithm", "entity_id", F.col("is_fraud").alias("y_true"), F.col("score").alias("y_prob"), (F.col("score") >= F.col("threshold")).cast("int").alias("y_pred")))
+    base, full = (evaluate.window_metrics(predicted.where(F.col("algorithm") == a)) for a in ("vol_sent", "degree"))
+    return reports.ablation(base, full, ABLATION)
 
 
 @query
 def ablation_delta(spark: SparkSession, sf: str) -> DataFrame:
-    """The score by volume sent as the base and by degree as the full model, window by window."""
-    m = evaluate.confusion(_predictions(spark, sf), ["window_id", "algorithm"])
-    d = reports.ablation(m.where("algorithm = 'vol_sent'"), m.where("algorithm = 'degree'"), ABLATION)
-    return rounded(d, **{c: 5 for c in d.columns if c != "window_id"})
+    d = _compared(spark, sf)
+    return rounded(d, **{c: 2 if c.startswith("lift_") else 5 for c in d.columns if c != "window_id"})
 
 
 @query
 def ablation_tests(spark: SparkSession, sf: str) -> DataFrame:
-    m = evaluate.confusion(_predictions(spark, sf), ["window_id", "algorithm"])
-    d = reports.ablation(m.where("algorithm = 'vol_sent'"), m.where("algorithm = 'degree'"), ABLATION)
-    return rounded(reports.ablation_tests(d, ABLATION), mean_delta=6, t_statistic=5)
+    return rounded(reports.ablation_tests(_compared(spark, sf), ABLATION), mean_delta=6, std_delta=6, t_statistic=5, p_value=5)
 
 
 # Reports.
@@ -446,39 +437,59 @@ def ablation_tests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def community_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.community_stats(members(spark, sf, "purchase")), fraud_rate=6)
+    return rounded(reports.community_stats(members(spark, sf)), fraud_rate=6)
 
 
 @query
 def community_size_bands(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.community_size_bands(reports.community_stats(members(spark, sf, "purchase"))), fraud_rate=6, lift=6)
+    return rounded(reports.community_size_bands(reports.community_stats(members(spark, sf))), fraud_rate=6, lift=6)
 
 
 @query
 def fraud_rings(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.fraud_rings(reports.community_stats(members(spark, sf, "purchase"))), mean_rate_with_fraud=6, high_risk_share=6)
+    return rounded(reports.fraud_rings(reports.community_stats(members(spark, sf))), mean_rate_with_fraud=6, high_risk_share=6)
 
 
 @query
-def community_stats_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.community_stats(members(spark, sf)), fraud_rate=6)
+def component_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten components of each window with the highest rates."""
+    return rounded(reports.top_communities(reports.community_stats(members(spark, sf))), fraud_rate=6, lift=6)
 
 
 @query
-def community_size_bands_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.community_size_bands(reports.community_stats(members(spark, sf))), fraud_rate=6, lift=6)
+def component_concentration(spark: SparkSession, sf: str) -> DataFrame:
+    return _doubles(reports.concentration(members(spark, sf), "component_id"))
 
 
 @query
-def fraud_rings_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.fraud_rings(reports.community_stats(members(spark, sf))), mean_rate_with_fraud=6, high_risk_share=6)
+def leiden_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and fraud of each Leiden community."""
+    return rounded(reports.community_stats(leiden_members(spark, sf).where("leiden_macro_id <> -1"), "leiden_macro_id"), fraud_rate=6)
+
+
+@query
+def leiden_size_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.community_size_bands(leiden_stats(spark, sf)), fraud_rate=6, lift=6)
+
+
+@query
+def leiden_rings(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.fraud_rings(leiden_stats(spark, sf)), mean_rate_with_fraud=6, high_risk_share=6)
+
+
+@query
+def leiden_top(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.top_communities(leiden_stats(spark, sf)), fraud_rate=6, lift=6)
+
+
+@query
+def leiden_concentration(spark: SparkSession, sf: str) -> DataFrame:
+    return _doubles(reports.concentration(leiden_members(spark, sf), "leiden_macro_id"))
 
 
 def _motif_features(spark: SparkSession, sf: str) -> DataFrame:
     e = edges_once(spark, sf)
-    rows = resolved(spark, sf)
-    n = profiles.fraud(windows.assign(rows, windows.bounds(rows)))
-    return features.join_features(n, [motifs.fans(e), motifs.scatter_gather(e), motifs.cycles(e, 3)])
+    return features.join_features(labels(spark, sf), [motifs.fans(e), motifs.scatter_gather(e), motifs.cycles(e, 3)])
 
 
 @query
@@ -501,6 +512,7 @@ def cycle_lift(spark: SparkSession, sf: str) -> DataFrame:
 
 MODEL_COLUMNS = [c for c in features.BEHAVIOURAL if c != "flow_ratio"] + ["degree", "in_degree", "out_degree", "temporal_fan_out_count", "temporal_fan_in_count"]
 ALL_COLUMNS = [*features.BEHAVIOURAL, *features.TOPOLOGICAL]
+PRUNED_COLUMNS = [*features.BEHAVIOURAL, *features.PRUNED_TOPOLOGICAL]
 
 
 @query
@@ -511,10 +523,27 @@ def forward_chain(spark: SparkSession, sf: str) -> DataFrame:
     return forward.forward_chain(durable(feature_table(spark, sf)), ALL_COLUMNS)
 
 
+@query
+def forward_chain_base(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the behavioural columns alone, which need no graph."""
+    from ledgerloom.models import forward
+
+    n = nodes(spark, sf)
+    return forward.forward_chain(durable(n.withColumn("flow_ratio", ratio(F.col("vol_sent"), F.col("vol_recv")))), list(features.BEHAVIOURAL))
+
+
 @query
 def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Measures by window of the forward-chained model."""
-    return evaluate.confusion(forward_chain(spark, sf), ["window_id"])
+    p = durable(forward_chain(spark, sf))
+    return evaluate.confusion(p, ["window_id"]).join(evaluate.window_metrics(p).select("window_id", *ABLATION[4:]), "window_id", "left")
+
+
+@query
+def model_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """What the graph features add to the behavioural model, measure by measure, with its significance."""
+    base, full = (evaluate.window_metrics(durable(f(spark, sf))) for f in (forward_chain_base, forward_chain))
+    return reports.ablation_tests(durable(reports.ablation(base, full, ABLATION)), ABLATION)
 
 
 @query
@@ -525,6 +554,43 @@ def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
     return forward.importance(durable(feature_table(spark, sf)), ALL_COLUMNS)
 
 
+def _pruned(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, float], list[str]]:
+    """The features, their importance, and the columns that are left without collinear ones."""
+    from ledgerloom.models import forward, pruning
+
+    f = durable(feature_table(spark, sf))
+    worth = {r.feature: r.mean_abs_shap for r in forward.importance(f, PRUNED_COLUMNS, sample=800).collect()}  # one row for each column
+    dropped = pruning.collinear(pruning.spearman(f, PRUNED_COLUMNS), worth)
+    return f, worth, [c for c in PRUNED_COLUMNS if c not in dropped]
+
+
+@query
+def pruned_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """For each column its importance, whether it is collinear with a more important one, and whether it is protected from elimination."""
+    from ledgerloom.models import pruning
+
+    _, worth, kept = _pruned(spark, sf)
+    safe = pruning.protected({c: worth.get(c, 0.0) for c in kept}, features.BEHAVIOURAL)
+    return spark.createDataFrame([(c, float(worth.get(c, 0.0)), c not in kept, c in safe) for c in PRUNED_COLUMNS], "feature string, mean_abs_shap double, collinear boolean, protected boolean")
+
+
+@query
+def feature_elimination(spark: SparkSession, sf: str) -> DataFrame:
+    """Recursive elimination by importance: the columns dropped in each round, the score of the rest, and whether the round was chosen."""
+    from ledgerloom.models import forward, pruning
+
+    f, worth, kept = _pruned(spark, sf)
+    safe = pruning.protected({c: worth.get(c, 0.0) for c in kept}, features.BEHAVIOURAL)
+
+    def score_of(columns: list[str]) -> float:
+        return evaluate.average_precision(evaluate.two_classes(forward.forward_chain(f, columns).select("window_id", "entity_id", F.col("y_true").alias("is_fraud"), F.col("y_prob").alias("score"))), ["window_id"]).agg(F.avg("average_precision")).first()[0] or 0.0
+
+    importance_of = lambda columns: worth if columns == kept else {r.feature: r.mean_abs_shap for r in forward.importance(f, columns, sample=800).collect()}
+    best, history = pruning.eliminate(kept, importance_of, score_of, safe)
+    rows = [(h["round"], len(h["columns"]), ",".join(h["dropped"]), float(h["score"]), h["columns"] == best) for h in history]
+    return spark.createDataFrame(rows, "round int, n_columns int, dropped string, score double, selected boolean")
+
+
 @query
 def cascade_predictions(spark: SparkSession, sf: str) -> DataFrame:
     from ledgerloom.models import forward
@@ -542,9 +608,9 @@ def undersample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def spearman_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank correlations of the behavioural columns, pair by pair."""
+    """Rank correlations of the behavioural columns, pair by pair, of at most 10,000 rows."""
     from ledgerloom.models import pruning
 
-    corr = pruning.spearman(nodes(spark, sf), MODEL_COLUMNS)
-    rows = [(a, b, float(corr.loc[a, b])) for i, a in enumerate(MODEL_COLUMNS) for b in MODEL_COLUMNS[i + 1 :]]
+    corr = pruning.spearman(rounded(nodes(spark, sf), vol_sent=6, vol_recv=6, time_variance=3), MODEL_COLUMNS)
+    rows = [(a, b, round(float(corr.loc[a, b]), 6)) for i, a in enumerate(MODEL_COLUMNS) for b in MODEL_COLUMNS[i + 1 :]]
     return spark.createDataFrame(rows, "a string, b string, rho double")

@@ -114,7 +114,7 @@ def test_triangles_and_clustering(edges):
             assert coefficients.get(name, {}).get(v, 0.0) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("name", ["pagerank", "hits", "k_core", "components"])
+@pytest.mark.parametrize("name", ["pagerank", "hits", "k_core", "components", "betweenness"])
 def test_local_and_distributed_agree(edges, name):
     f = getattr(iterative, name)
     extra = {"rounds": 6} if name in ("pagerank", "hits") else {}

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.config import Config
 from ledgerloom.functions import scalar, stats
 from ledgerloom.models import forward, pruning
 from ledgerloom.models.boosting import Booster, Params
@@ -173,6 +174,25 @@ def test_importance_and_pruning(spark):
     assert set(best) == {"a", "b"} and history[-1]["dropped"] == ["b"] or set(best) >= {"a", "b"}
 
 
+def test_tables_beyond_a_worker_train_where_they_are(spark):
+    f, small, few = _features(spark), Config(local_rows=10), replace(SMALL, trees=2, least_weight=1.0)
+    p = forward.forward_chain(f, ["signal", "noise"], few, config=small).collect()
+    assert len(p) == 160 and {r.window_id for r in p} == {2, 3, 4, 5} and all(r.y_pred == int(r.y_prob >= r.threshold) for r in p)
+    for g in (forward.importance, forward.cascade):
+        with pytest.raises(ValueError, match="local_rows"):
+            g(f, ["signal", "noise"], few, config=small)
+
+
+def test_arrays_json_and_logs(spark, tmp_path):
+    a = np.arange(6.0).reshape(2, 3)
+    tables.write_array(a, str(tmp_path / "a"))
+    assert (tables.read_array(str(tmp_path / "a")) == a).all()
+    tables.write_json({"b": [1, "é"]}, f"file://{tmp_path}/x.json")
+    assert tables.read_json(str(tmp_path / "x.json")) == {"b": [1, "é"]}
+    tables.log_tee(str(tmp_path / "log"), "trial").info("written twice")
+    assert "written twice" in (tmp_path / "log").read_text()
+
+
 def test_undersample(spark):
     got = forward.undersample(_features(spark), ratio=1).groupBy("is_fraud").count().collect()
     counts = {r.is_fraud: r["count"] for r in got}
@@ -180,7 +200,7 @@ def test_undersample(spark):
 
 
 def test_distributed_trees(spark):
-    p = forward.distributed(_features(spark), ["signal", "noise"], 5, replace(SMALL, trees=3, least_weight=1.0)).collect()
+    p = forward.distributed(_features(spark), ["signal", "noise"], [5], [0, 1, 2, 3, 4], replace(SMALL, trees=3, least_weight=1.0)).collect()
     assert len(p) == 40 and all(0 <= r.y_prob <= 1 for r in p)
 
 

@@ -80,14 +80,14 @@ def test_cores_and_components_of_all_transfers(spark, sf, graphs):
             weight[a % 5] += 1
             weight[b % 5] += 1
         labelled[w] = sum(a % 5 == b % 5 for a, b in undirected) / m - sum((x / 2 / m) ** 2 for x in weight.values())
-    assert by_entity(QUERIES["k_core_all"](spark, sf), "k_core") == core
-    assert by_entity(QUERIES["components_all"](spark, sf), "component_id") == part
-    assert {r.window_id: r.modularity for r in QUERIES["modularity_all"](spark, sf).collect()} == pytest.approx(labelled, abs=1e-7)
+    assert by_entity(QUERIES["k_core"](spark, sf), "k_core") == core
+    assert by_entity(QUERIES["components"](spark, sf), "component_id") == part
+    assert {r.window_id: r.modularity for r in QUERIES["modularity"](spark, sf).collect()} == pytest.approx(labelled, abs=1e-7)
     sizes = defaultdict(int)
     for (w, _), c in part.items():
         sizes[w, c] += 1
-    assert {(r.window_id, r.community): r["size"] for r in QUERIES["community_stats_all"](spark, sf).collect()} == sizes
-    bands, rings = (QUERIES[f"{n}_all"](spark, sf).collect() for n in ("community_size_bands", "fraud_rings"))
+    assert {(r.window_id, r.community): r["size"] for r in QUERIES["community_stats"](spark, sf).collect()} == sizes
+    bands, rings = (QUERIES[n](spark, sf).collect() for n in ("community_size_bands", "fraud_rings"))
     for w in graphs:
         assert sum(r.nodes for r in bands if r.window_id == w) == len(near(graphs[w]))
         assert [r.communities for r in rings if r.window_id == w] == [sum(x == w for x, _ in sizes)]
@@ -115,4 +115,33 @@ def test_long_cycles_of_all_transfers(spark, sf, graphs):
 
         for v in list(next_):
             walk([v])
-    assert by_entity(QUERIES["cycles_le6_all"](spark, sf), "cycle_count") == want
+    assert by_entity(QUERIES["cycles_le6"](spark, sf), "cycle_count") == want
+
+
+def test_leiden_reports_add_up(spark, sf, graphs):
+    """Communities are checked by their modularity; the reports by their sums over them."""
+    found = by_entity(QUERIES["leiden_macro"](spark, sf), "leiden_id")
+    marks = by_entity(QUERIES["entity_fraud"](spark, sf), "is_fraud")
+    sizes, fraud = defaultdict(int), defaultdict(int)
+    for (w, v), c in found.items():
+        sizes[w, c] += 1
+        fraud[w, c] += marks[w, v]
+    stats = {(r.window_id, r.community): (r["size"], r.fraud_count) for r in QUERIES["leiden_stats"](spark, sf).collect()}
+    assert stats == {k: (n, fraud[k]) for k, n in sizes.items()}
+    of = lambda name: [r.asDict() for r in QUERIES[name](spark, sf).collect()]
+    bands, rings, top, conc = of("leiden_size_bands"), of("leiden_rings"), of("leiden_top"), of("leiden_concentration")
+    for w in graphs:
+        mine = {k: n for k, n in sizes.items() if k[0] == w}
+        assert sum(r["nodes"] for r in bands if r["window_id"] == w) == sum(mine.values())
+        assert [r["communities"] for r in rings + conc if r["window_id"] == w] == [len(mine)] * 2
+        order = sorted((k for k, n in mine.items() if n >= 3), key=lambda k: (-fraud[k] / mine[k], -mine[k], k[1]))[:10]
+        assert [r["community"] for r in sorted((r for r in top if r["window_id"] == w), key=lambda r: r["rank"])] == [c for _, c in order]
+        assert [r["fraud"] for r in conc if r["window_id"] == w] == [sum(fraud[k] for k in mine)]
+
+
+def test_entities_without_a_community_are_left_out(spark):
+    from ledgerloom.operators import reports
+
+    rows = spark.createDataFrame([(0, 1, 4, 1), (0, 2, 4, 0), (0, 3, -1, 1)], "window_id long, entity_id long, leiden_macro_id long, is_fraud int")
+    r = reports.concentration(rows, "leiden_macro_id").first()
+    assert (r.nodes, r.fraud, r.communities, r.with_fraud, r.fraud_only, r.communities_pct) == (2, 1, 1, 1, 0, 50.0)

@@ -18,6 +18,13 @@ components of the forest is lost; components join with alternating star
 contractions over checkpointed tables. Components and fingerprints with many
 members (a 500th of all; there are 500 at most) reach these by broadcast.
 
+Deduplication (``deduplicate``) takes shingles of five words and links documents
+of a similarity of 0.8 or more. So alike texts differ in about 10 of 64 bits, at
+which unrelated ones would meet too; so each document gets four more fingerprints
+of the same shingles, candidates come from ``NEAR_DISTANCE`` bits of the first one
+by the same plan, and are verified on all 320 bits, by which the similarity is
+estimated.
+
 Null text and text without words have the fingerprint zero and link like any
 other. Rows with a null key are fingerprinted and linked; a component's id is
 the smallest key that isn't null, null if there is none. Repeated rows give
@@ -27,8 +34,8 @@ whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, combinations
 from math import comb
 
 import numpy as np
@@ -40,6 +47,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import cut, map_arrow, raw, slices
 
 WORDS, SEED, BITS, DISTANCE = 4, 42, 64, 4
+#: Deduplication: words of a shingle, further fingerprints, differing bits of the first one, and of all 320 bits together. Of two
+#: texts with a share J of their shingles in common, a bit differs with a chance of arccos(2 J / (1 + J)) / pi: at 0.8 48.5 of 320
+#: bits, with a deviation of 6.
+NEAR_WORDS, NEAR_EXTRA, NEAR_DISTANCE, NEAR_BITS = 5, 4, 12, 54
 #: Fingerprints (smallest hash first) from which the plan's costs are estimated. They never decide what links.
 PLAN_SAMPLE = 1024
 #: Parts begin and end at multiples of this many bits; values of a part that one fingerprint is put under at most.
@@ -52,33 +63,47 @@ PROBE_COST = 40.0
 FREQUENT = 500
 
 
-def fingerprint(data: bytes) -> int:
-    """The SimHash of a text's word shingles, as a signed 64-bit integer."""
+def _bits(hashes: np.ndarray) -> int:
+    """A fingerprint bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles: a round of multiplying and shifting, after a k-th constant is added."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def signature(data: bytes, shingle: int = WORDS, extra: int = 0) -> list[int]:
+    """The SimHash of a text's word shingles as a signed 64-bit integer, and ``extra`` more of the same shingles by other hashes."""
     words = data.lower().split()  # on bytes, both know ASCII only
     if not words:
-        return 0
+        return [0] * (1 + extra)
     line = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
     h = xxhash.xxh64_intdigest
     starts = [0, *(e + 1 for e in ends[:-1])]
-    hashes = [h(line[a:b], SEED) for a, b in zip(starts, ends[WORDS - 1 :])] if len(words) >= WORDS else [h(line, SEED)]
-    values, ones = np.array(hashes, np.uint64), np.zeros(BITS, np.int64)
-    for i in range(0, len(values), 1 << 14):
-        ones += np.unpackbits(values[i : i + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
+    values = np.array([h(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])] if len(words) >= shingle else [h(line, SEED)], np.uint64)
+    return [_bits(values), *(_bits(_mixed(values, k)) for k in range(1, extra + 1))]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``fp``, the fingerprint as a signed long."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = WORDS, extra: int = 0) -> DataFrame:
+    """The columns ``keep`` and ``fp``, the fingerprint as a signed long, and fp1, fp2, ..., the ``extra`` ones."""
+    names = ["fp", *(f"fp{k}" for k in range(1, extra + 1))]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                fps = pa.array([fingerprint(x) for x in raw(part.column(text))], pa.int64())
-                yield pa.record_batch({c: part.column(c) for c in keep} | {"fp": fps})
+                found = np.array([signature(x, shingle, extra) for x in raw(part.column(text))], np.int64).reshape(-1, 1 + extra)
+                yield pa.record_batch({c: part.column(c) for c in keep} | {c: pa.array(found[:, k], pa.int64()) for k, c in enumerate(names)})
 
-    return map_arrow(docs.select(*keep, text), run, f"{schema}, fp long")
+    return map_arrow(docs.select(*keep, text), run, schema)
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -171,27 +196,23 @@ def allocate(order: list[int], sample: np.ndarray, n: int, distance: int = DISTA
     return [(order[a * STEP : b * STEP], flips) for a, b, flips in best[steps][budget][1]]
 
 
-def plan(fps: DataFrame, n: int) -> list[tuple[list[int], int]]:
+def plan(fps: DataFrame, n: int, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
     """Parts with their flips, for ``n`` distinct fingerprints."""
     order = correlated_order(bit_counts(fps), n)
     rows = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).collect()
-    return allocate(order, np.array([r.fp for r in rows], np.int64).view(np.uint64), n)
+    return allocate(order, np.array([r.fp for r in rows], np.int64).view(np.uint64), n, distance)
 
 
 # Links.
 
 
 def probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Each fingerprint under every value at which it can meet another: part, value, fp."""
-    return fps.select("fp", F.explode(F.concat(*(_part_values(k, bits, t) for k, (bits, t) in enumerate(parts)))).alias("at")).select("at.part", "at.value", "fp")
+    """Each fingerprint under every value at which it can meet another: part, value, and the columns of ``fps``."""
+    return fps.select("*", F.explode(F.concat(*(_part_values(k, bits, t) for k, (bits, t) in enumerate(parts)))).alias("at")).select("at.part", "at.value", *fps.columns)
 
 
 def _part_values(part: int, bits: list[int], t: int) -> Column:
-    flips = [0]
-    if t >= 1:
-        flips += [1 << b for b in bits]
-    if t >= 2:
-        flips += [1 << a | 1 << b for i, a in enumerate(bits) for b in bits[:i]]
+    flips = [sum(1 << b for b in some) for n in range(t + 1) for some in combinations(bits, n)]
     own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
     return F.transform(F.array(*(F.lit(_signed(f)) for f in flips)), lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f).alias("value")))
 
@@ -200,20 +221,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_pairs(a: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, by flooding."""
-    if len(a) <= 256:
-        if not np.triu(np.bitwise_count(a[:, None] ^ a) <= DISTANCE, 1).any():
-            return []
-    links, left = [], a
+def near_pairs(a: np.ndarray, distance: int = DISTANCE, within: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among fingerprints, by flooding; pairs of rows of ``a``.
+
+    The first column links at ``distance`` bits or fewer, all columns together at ``within`` or fewer if that is given.
+    """
+    if len(a) <= 256 and not np.triu(np.bitwise_count(a[:, None, 0] ^ a[:, 0]) <= distance, 1).any():
+        return []
+    links, left = [], np.arange(len(a))
     while len(left) > 1:
         reached, left = [left[0]], left[1:]
         while reached and len(left):
             x = reached.pop()
-            near = np.bitwise_count(left ^ x) <= DISTANCE
+            near = np.bitwise_count(a[left, 0] ^ a[x, 0]) <= distance
+            if within is not None and near.any():
+                near[near] = np.bitwise_count(a[left[near]] ^ a[x]).sum(1) <= within
             if near.any():
-                links += [(x, y) for y in left[near]]
-                reached.extend(left[near])
+                links += [(x, y) for y in left[near].tolist()]
+                reached.extend(left[near].tolist())
                 left = left[~near]
     return links
 
@@ -241,50 +266,57 @@ class Forest:
         return pa.record_batch({"hi": pa.array([x for x, _ in rows], pa.int64()), "lo": pa.array([r for _, r in rows], pa.int64())})
 
 
-def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the groups in a task, whose rows come sorted by group; emitted as stars."""
-    forest, held, current = Forest(), [], None
-
-    def close() -> None:
-        if held and sum(map(len, held)) > 1:
-            a = np.unique(np.concatenate(held)).view(np.uint64)
-            for x, y in near_pairs(a):
-                forest.link(int(np.uint64(x).view(np.int64)), int(np.uint64(y).view(np.int64)))
-
-    for batch in batches:
-        group = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "value", "block")], 1)
-        fp = batch.column("fp").to_numpy(zero_copy_only=False)
-        ends = [*(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), len(fp)]
-        for a, b in zip([0, *ends], ends):
-            if a == b:
-                continue
-            if (key := tuple(group[a].tolist())) != current:
-                close()
-                held, current = [], key
-            held.append(fp[a:b])
-        if len(forest.up) > 1_000_000:
-            yield forest.batch()
-            forest = Forest()
-    close()
-    yield forest.batch()
-
-
-def links(fps: DataFrame, parts: list[tuple[list[int], int]], block: int = BLOCK) -> DataFrame:
-    """A forest with the components of all links: hi, lo. ``fps``: distinct fingerprints."""
+def forests(names: list[str], distance: int = DISTANCE, within: int | None = None) -> Callable:
+    """The function that links the groups in a task, whose rows come sorted by group; links are emitted as stars. names: node, then fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held, current = Forest(), [], None
+
+        def close() -> None:
+            if sum(map(len, held)) > 1:
+                rows = np.concatenate(held)
+                nodes, first = np.unique(rows[:, 0], return_index=True)
+                for x, y in near_pairs(rows[first, 1:].view(np.uint64), distance, within):
+                    forest.link(int(nodes[x]), int(nodes[y]))
+
+        for batch in batches:
+            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "value", "block")], 1)
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)
+            ends = [*(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), len(rows)]
+            for a, b in zip([0, *ends], ends):
+                if a == b:
+                    continue
+                if (key := tuple(group[a].tolist())) != current:
+                    close()
+                    held, current = [], key
+                held.append(rows[a:b])
+            if len(forest.up) > 1_000_000:
+                yield forest.batch()
+                forest = Forest()
+        close()
+        yield forest.batch()
+
+    return run
+
+
+def links(fps: DataFrame, parts: list[tuple[list[int], int]], block: int = BLOCK, distance: int = DISTANCE, within: int | None = None) -> DataFrame:
+    """A forest with the components of all links: hi, lo, which are nodes. ``fps``: fp, which is the node, or node, fp, fp1, ...; one row for each node."""
+    node = fps.columns[0]
     rows = probes(fps, parts)
     crowded = rows.groupBy("part", "value").count().where(F.col("count") > block).select("part", "value", F.ceil(F.col("count") / block).cast("long").alias("blocks"))
     crowded = cut(crowded)
-    own = F.pmod(F.xxhash64("fp", "value"), F.col("blocks"))
+    own = F.pmod(F.xxhash64(node, "value"), F.col("blocks"))
     # a fingerprint of block b belongs to the pairs {b, o} for every block o
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
     if crowded.isEmpty():
         rows = rows.withColumn("block", F.lit(0).cast("long"))
     else:
         rows = rows.join(crowded, ["part", "value"], "left")
-        rows = rows.select("part", "value", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)).alias("block"))
+        rows = rows.select("part", "value", *fps.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)).alias("block"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "part", "value", "block").sortWithinPartitions("part", "value", "block")
-    return map_arrow(dealt, forests, "hi long, lo long")
+    names = [node, *(c for c in fps.columns if c != "node")]
+    return map_arrow(dealt, forests(names, distance, within), "hi long, lo long")
 
 
 # Components.
@@ -325,19 +357,22 @@ def spread_join(rows: DataFrame, labels: DataFrame, on: str, total: int) -> Data
     return rows.join(frequent, on).unionByName(rows.join(frequent.select(on), on, "left_anti").join(rare, on))
 
 
-def components(keyed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``keyed`` (key and fp at least) with ``component_id``, the smallest key of the component."""
-    keyed = cut(keyed)
-    fps = cut(keyed.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("members")))
-    n, total = fps.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
+def components(keyed: DataFrame, key: str = "doc_id", distance: int = DISTANCE, within: int | None = None) -> DataFrame:
+    """``keyed`` (key, fp, and fp1, ... where all of them have to be ``within`` so many bits) with ``component_id``, the smallest key of the component."""
+    more = [c for c in keyed.columns if c.startswith("fp") and c[2:].isdigit()]
+    node = "node" if more else "fp"
+    keyed = cut(keyed.withColumn("node", F.xxhash64("fp", *more)) if more else keyed)
+    nodes = cut(keyed.groupBy(*(["node"] if more else []), "fp", *more).agg(F.min(key).alias("least"), F.count("*").alias("members")))
+    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
     if n < 2:
-        whole = fps.select("fp", "members", F.col("least").alias("component_id"))
+        whole = nodes.select(node, "members", F.col(node).alias("root"), F.col("least").alias("component_id"))
     else:
-        roots = stars(links(fps.select("fp"), plan(fps, n))).select(F.col("hi").alias("fp"), F.col("lo").alias("root"))
-        rooted = cut(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        fps = nodes.select(*(["node"] if more else []), "fp", *more)
+        roots = stars(links(fps, plan(fps, n, distance), distance=distance, within=within)).select(F.col("hi").alias(node), F.col("lo").alias("root"))
+        rooted = cut(nodes.join(roots, node, "left").select(node, "least", "members", F.coalesce("root", node).alias("root")))
         ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
-        whole = cut(spread_join(rooted.select("fp", F.col("members").alias("rows"), "root"), ids, "root", n).select("fp", F.col("rows").alias("members"), "component_id"))
-    return spread_join(keyed, whole, "fp", total)
+        whole = cut(spread_join(rooted.select(node, F.col("members").alias("rows"), "root"), ids, "root", n).select(node, F.col("rows").alias("members"), "root", "component_id"))
+    return spread_join(keyed, whole, node, total)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,15 +381,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return found.select(key, hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: the one with the smallest key (null keys last, then the smallest hash of the text).
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_WORDS, distance: int = NEAR_DISTANCE, within: int | None = NEAR_BITS) -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns: the one with the smallest key (null keys last, then the smallest hash of the text).
+
+    Without ``within`` documents link by ``distance`` bits of one fingerprint alone.
 
     Rows that agree in key and text are copies of each other; one of them stays,
     that with the smallest hash of all columns.
     """
     own, mark = F.col(key), F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
-    found = cut(components(fingerprints(docs.select(own.alias("own"), mark.alias("mark"), F.col(text).alias("text")), "text", ("own", "mark")), "own"))
-    alone = F.when(F.col("component_id").isNull(), F.col("fp"))  # components without any key count by fingerprint
+    rows = docs.select(own.alias("own"), mark.alias("mark"), F.col(text).alias("text"))
+    found = cut(components(fingerprints(rows, "text", ("own", "mark"), shingle, NEAR_EXTRA if within is not None else 0), "own", distance, within))
+    alone = F.when(F.col("component_id").isNull(), F.col("root"))  # components without any key count by their root
     first = F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("k"), F.col("mark").alias("m")))
     kept = found.groupBy("component_id", alone.alias("alone")).agg(first.alias("first")).select(F.col("first.k").alias("k"), F.col("first.m").alias("m"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("own"), mark.alias("mark"))

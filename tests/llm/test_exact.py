@@ -180,6 +180,88 @@ def test_components_equal_brute_force(spark, thresholds, block):
     assert {x: got.get(x, x) for x in signed} == {x: least[root(i)] for i, x in enumerate(signed)}
 
 
+def slow_signature(text: str, shingle: int = 5, extra: int = 4) -> tuple[int, ...]:
+    low, m = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text), 2**64 - 1
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in ([" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or ([" ".join(w)] if w else []))]
+
+    def mixed(x, k):
+        x = x + k * 0x9E3779B97F4A7C15 & m
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    of = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return (of(hashes), *(of([mixed(h, k) for h in hashes]) for k in range(1, extra + 1)))
+
+
+def near_groups(signatures: dict) -> dict:
+    """Key to the smallest key that it reaches by links of the near-duplicate rule."""
+    group = {k: k for k in signatures}
+    keys = sorted(signatures)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            x, y = signatures[a], signatures[b]
+            if group[a] != group[b] and (x[0] ^ y[0]).bit_count() <= simhash.NEAR_DISTANCE and sum((p ^ q).bit_count() for p, q in zip(x, y)) <= simhash.NEAR_BITS:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if g == old else g for k, g in group.items()}
+    return group
+
+
+def near_texts(seed: int = 4) -> list[str]:
+    """Texts, copies of each with one word after another replaced, and a crowd of copies of one text."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    out = []
+    for n in (8, 60, 150, 300):
+        w = [word() for _ in range(n)]
+        for _ in range(12):
+            out.append(" ".join(w))
+            w[r.randrange(n)] = word()
+    w = [word() for _ in range(120)]
+    return out + [" ".join(x if r.random() > 0.02 else word() for x in w) for _ in range(60)] + ["", "one", "ONE"]
+
+
+def test_deduplication_equals_brute_force(spark, sf):
+    whole = dict(enumerate(near_texts())) | {r.doc_id + 1000: r.text or "" for r in table(spark, sf, "documents").collect()}
+    docs = spark.createDataFrame(list(whole.items()), "doc_id long, text string").repartition(5)
+    want = near_groups({k: slow_signature(t) for k, t in whole.items()})
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == sorted(set(want.values()))
+
+
+def test_near_duplicates_of_0_8_are_found(spark):
+    """Pairs by the share of five-word shingles that they have in common: nine in ten of 0.85 or more are linked, none under 0.5."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, share = [], {}
+    for i in range(300):
+        a = [word() for _ in range(r.randint(100, 400))]
+        b = list(a)
+        for _ in range(r.choice([1, 2, 3, 5, 8, 40])):
+            b[r.randrange(len(b))] = word()
+        x, y = shingles(a), shingles(b)
+        share[i] = len(x & y) / len(x | y)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * i in kept for i in share)
+    linked = {i for i in share if 2 * i + 1 not in kept}
+    high, low = [i for i in share if share[i] >= 0.85], [i for i in share if share[i] < 0.5]
+    assert len(linked.intersection(high)) >= 0.9 * len(high) > 90 and not linked.intersection(low) and len(low) > 20
+
+
+@pytest.mark.parametrize("block", [8, 2048])
+def test_links_by_several_fingerprints_equal_brute_force(spark, block):
+    found = {tuple(slow_signature(t)) for t in near_texts(7)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = {k: v for k, v in enumerate(sorted(found))}
+    df = spark.createDataFrame([(k, *map(signed, v)) for k, v in rows.items()], "node long, fp long, fp1 long, fp2 long, fp3 long, fp4 long")
+    parts = simhash.plan(df, len(rows), simhash.NEAR_DISTANCE)
+    assert sum(2 * f + 1 for _, f in parts) > simhash.NEAR_DISTANCE
+    got = {r.hi: r.lo for r in simhash.stars(simhash.links(df, parts, block, simhash.NEAR_DISTANCE, simhash.NEAR_BITS)).collect()}
+    assert {k: got.get(k, k) for k in rows} == near_groups(rows)
+
+
 def test_meetings_and_plans():
     """Two values at most 2 f bits apart share a value within f flips; plans spend the budget whatever the sample."""
     for width in (3, 6):
@@ -220,7 +302,7 @@ def test_near_duplicates_of_documents(spark, sf):
                 old, new = max(comp[k], comp[j]), min(comp[k], comp[j])
                 comp = {x: new if c == old else c for x, c in comp.items()}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {k: (f"{f:016x}", comp[k]) for k, f in whole.items()}
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs).select("doc_id").collect()) == sorted(set(comp.values()))
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs, shingle=4, distance=4, within=None).select("doc_id").collect()) == sorted(set(comp.values()))
 
 
 # Decontamination.

@@ -10,7 +10,7 @@ import corpus_pipeline
 from ledgerloom.llm import quality_rules
 from ledgerloom.llm.common import table
 from ledgerloom.llm.queries import vocabulary
-from tests.llm.test_exact import slow_fingerprint, slow_secrets
+from tests.llm.test_exact import near_groups, slow_secrets, slow_signature
 
 
 def test_run_equals_stages_done_by_hand(spark, sf):
@@ -19,14 +19,8 @@ def test_run_equals_stages_done_by_hand(spark, sf):
     good = {r.doc_id for r in quality_rules.rate(docs).where("kept").collect()}
     left = {k: t for k, t in left.items() if k in good}
     # one document of each group of near-duplicates
-    fps = {k: slow_fingerprint(t or "") for k, t in left.items()}
-    group = {k: k for k in fps}
-    for a in sorted(fps):
-        for b in sorted(fps):
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4 and group[a] != group[b]:
-                old, new = max(group[a], group[b]), min(group[a], group[b])
-                group = {k: new if g == old else g for k, g in group.items()}
-    left = {k: left[k] for k in set(group.values())}
+    fps = {k: slow_signature(t or "") for k, t in left.items()}
+    left = {k: left[k] for k in set(near_groups(fps).values())}
     # no benchmark window
     from ledgerloom.llm.decontaminate import item_windows, words
 

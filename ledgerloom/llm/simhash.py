@@ -334,8 +334,8 @@ def stars(edges: DataFrame) -> DataFrame:
     while seen[0]:
         # large star: greater neighbours go to the smallest neighbour
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("members")))
+        large = spread_join(both.where("v > u"), least, "u", 2 * seen[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of these
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))

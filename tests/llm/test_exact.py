@@ -118,6 +118,19 @@ def test_huge_texts_without_boundaries_widen_to_the_whole():
         assert token_counts.count(m, x) == len(m.encode(x, add_special_tokens=False))
 
 
+def test_a_table_of_long_texts_equals_the_library(spark):
+    """Texts over CHUNK_CHARS characters, all of which are spliced, through the operator."""
+    r = random.Random(11)
+    pieces = [*ODD, "word ", "longer words ", "中文 ", "12,345.67 ", "x" * 700, " " * 300, "don't "]
+    whole = ["".join(r.choice(pieces) for _ in range(r.randint(6000, 12000))) for _ in range(24)]
+    whole = [x * (1 + token_counts.CHUNK_CHARS // len(x)) for x in whole]
+    assert all(len(x) > token_counts.CHUNK_CHARS for x in whole)
+    m = token_counts.tokenizer(vocabulary("word_bpe_49k.json"))
+    docs = spark.createDataFrame(list(enumerate(whole)), "doc_id long, text string").repartition(4)
+    rows = token_counts.token_counts(docs, vocabulary("word_bpe_49k.json")).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_tokens) for x in rows} == {i: (len(t.encode()), len(m.encode(t, add_special_tokens=False))) for i, t in enumerate(whole)}
+
+
 # SimHash.
 
 
@@ -582,6 +595,57 @@ def test_coordinate_descent_reaches_the_optimum():
         assert loss(v + random_.normal(size=31) * 10 ** random_.uniform(-4, 0)) >= base - 1e-3
 
 
+def test_quality_scores_equal_brute_force(spark, sf):
+    """Features by loops, ratios by dictionaries, margins by sums, for the whole query; the optimiser has a test of its own."""
+    q = quality_classifier
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = {x.doc_id: x for x in q.score(docs, labels).collect()}
+    whole, mark = {x.doc_id: (x.text or "").encode() for x in docs.collect()}, {x.doc_id: x.quality for x in labels.collect() if x.quality is not None}
+
+    def features(data):
+        w, found = data.split(), set()
+        names = [zlib.crc32(x.lower()) % q.WORD_BUCKETS for x in w]
+        shapes = [q.shape(x) + 64 * (i > 0 and (names[i], q.shape(x)) == (names[i - 1], q.shape(w[i - 1]))) for i, x in enumerate(w)]
+        pair = lambda i: shapes[i] * q.SHAPES + shapes[i + 1]
+        signed = lambda x: (x + 2**63) % 2**64 - 2**63
+        for i in range(len(w)):
+            found.add(names[i])
+            if i + 1 < len(w):
+                found.add(q.WORD_PAIRS + (signed((names[i] * 1_000_003 + names[i + 1]) * 2654435761) >> 9) % q.WORD_PAIR_BUCKETS)
+                found.add(q.PAIRS + pair(i))
+            if i + 2 < len(w):
+                found.add(q.TRIPLES + (signed((pair(i) * q.SHAPES + shapes[i + 2]) * 2654435761) >> 7) % q.TRIPLE_BUCKETS)
+        return np.array(sorted(found), np.int64)
+
+    keys = sorted(k for k in mark if zlib.crc32(str(k).encode()) % 5 and k in whole)
+    rows, y = [features(whole[k]) for k in keys], np.array([mark[k] for k in keys])
+
+    def model(part):
+        n = [Counter(f for i in part if y[i] == k for f in rows[i].tolist()) for k in (0, 1)]
+        seen = len(n[0] | n[1])
+        r = np.zeros(q.FEATURES)
+        for f in n[0] | n[1]:
+            r[f] = math.log((n[1][f] + 1) / (sum(n[1].values()) + seen)) - math.log((n[0][f] + 1) / (sum(n[0].values()) + seen))
+        w, bias = q.coordinate_descent([rows[i] for i in part], y[part], r)
+
+        def margin(x):
+            norm = math.sqrt(sum(r[f] ** 2 for f in x))
+            return (sum(w[f] * r[f] for f in x) / norm if norm else 0.0) + bias
+
+        return margin
+
+    margins = [0.0] * len(keys)
+    for k in range(3):
+        m = model([i for i in range(len(keys)) if i % 3 != k])
+        for i in range(k, len(keys), 3):
+            margins[i] = m(rows[i])
+    a, b = fit_sigmoid(margins, y)
+    m = model(list(range(len(keys))))
+    for k, data in whole.items():
+        assert got[k].score == pytest.approx(1 / (1 + math.exp(-(a * m(features(data)) + b))), abs=1e-4)
+        assert got[k].predicted == int(got[k].score >= 0.3)
+
+
 def test_toxicity_equals_brute_force(spark):
     """Examples, weights, cosines, votes and the sigmoid by dictionaries and loops, for the whole query."""
     r = random.Random(5)

@@ -582,11 +582,14 @@ def feature_elimination(spark: SparkSession, sf: str) -> DataFrame:
     f, worth, kept = _pruned(spark, sf)
     safe = pruning.protected({c: worth.get(c, 0.0) for c in kept}, features.BEHAVIOURAL)
 
-    def score_of(columns: list[str]) -> float:
-        return evaluate.average_precision(evaluate.two_classes(forward.forward_chain(f, columns).select("window_id", "entity_id", F.col("y_true").alias("is_fraud"), F.col("y_prob").alias("score"))), ["window_id"]).agg(F.avg("average_precision")).first()[0] or 0.0
-
-    importance_of = lambda columns: worth if columns == kept else {r.feature: r.mean_abs_shap for r in forward.importance(f, columns, sample=800).collect()}
-    best, history = pruning.eliminate(kept, importance_of, score_of, safe)
+    def judge(columns: list[str]) -> tuple[float, dict[str, float]]:
+        both = durable(forward.judged(f, columns))
+        s = both.where("feature IS NULL").select("window_id", "entity_id", F.col("y_true").alias("is_fraud"), F.col("y_prob").alias("score"))
+        score = evaluate.average_precision(evaluate.two_classes(s), ["window_id"]).agg(F.avg("average_precision")).first()[0]
+        worth = both.where("feature IS NOT NULL").groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("m")).collect()  # one row for each column
+        return score or 0.0, {r.feature: r.m for r in worth}
+
+    best, history = pruning.eliminate(kept, judge, safe)
     rows = [(h["round"], len(h["columns"]), ",".join(h["dropped"]), float(h["score"]), h["columns"] == best) for h in history]
     return spark.createDataFrame(rows, "round int, n_columns int, dropped string, score double, selected boolean")
 

@@ -170,7 +170,10 @@ def test_importance_and_pruning(spark):
     assert pruning.collinear(corr, {}) == ["copy"]
     assert pruning.protected({"a": 3.0, "b": 1.0, "c": 0.0}, ("b", "c")) == {"a", "b"}
     worth = {"a": 0.5, "b": 0.3, "c": 0.0, "d": 0.0, "e": 0.0, "f": 0.0, "g": 0.0}
-    best, history = pruning.eliminate(list(worth), lambda c: worth, lambda c: sum(worth[x] for x in c), {"a"}, least=2)
+    best, history = pruning.eliminate(list(worth), lambda c: (sum(worth[x] for x in c), worth), {"a"}, least=2)
+    both = forward.judged(f, ["signal", "noise"], SMALL, sample=1000)
+    assert {r.feature: r.m for r in both.where("feature IS NOT NULL").groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("m")).collect()}["signal"] == pytest.approx(forward.importance(f, ["signal", "noise"], SMALL).where("feature = 'signal'").first().mean_abs_shap)
+    assert {(r.window_id, r.entity_id): r.y_prob for r in both.where("feature IS NULL").collect()} == pytest.approx({(r.window_id, r.entity_id): r.y_prob for r in forward.forward_chain(f, ["signal", "noise"], SMALL).collect()})
     assert set(best) == {"a", "b"} and history[-1]["dropped"] == ["b"] or set(best) >= {"a", "b"}
 
 

@@ -42,7 +42,7 @@ LEXICON_BYTES = 40
 #: Different words that a task counts before it passes the counts on; they are added up later.
 COUNT_WORDS = 200_000
 #: Words remembered by a Python worker, from task to task.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Words longer than this many bytes are merged one by one with a heap.
 BLOCK_BYTES = 64
 

@@ -53,8 +53,8 @@ WORDS, SEED, BITS, DISTANCE = 4, 42, 64, 4
 NEAR_WORDS, NEAR_EXTRA, NEAR_DISTANCE, NEAR_BITS = 5, 4, 12, 54
 #: Fingerprints (smallest hash first) from which the plan's costs are estimated. They never decide what links.
 PLAN_SAMPLE = 1024
-#: Parts begin and end at multiples of this many bits; values of a part that one fingerprint is put under at most.
-STEP, MOST_VALUES = 4, 600
+#: Parts begin and end at multiples of this many bits; values of a part that one fingerprint is put under at most, which bounds what is shuffled for a document.
+STEP, MOST_VALUES = 4, 72
 #: Fingerprints in a block of a value that many share.
 BLOCK = 2048
 #: Cost of a probe row against that of comparing a candidate.

@@ -177,6 +177,15 @@ def test_importance_and_pruning(spark):
     assert set(best) == {"a", "b"} and history[-1]["dropped"] == ["b"] or set(best) >= {"a", "b"}
 
 
+@pytest.mark.parametrize("often", [1000, 1])
+def test_rank_correlations_take_every_row(spark, often):
+    """More rows than a sample of 10,000 held; ``often`` of 1 joins all values."""
+    f = spark.range(12000).selectExpr("id % 7 AS window_id", "id AS entity_id", "CASE WHEN id < 10500 THEN id % 5 ELSE 40.0 - id / 300 END AS a", "CASE WHEN id % 3 = 0 THEN NULL ELSE sqrt(id) END AS b", "double(id * 7919 % 12007) AS c", "1.0D AS d")
+    want = f.select("a", "b", "c", "d").toPandas().astype(float).fillna(0.0).rank(method="average").corr().fillna(0.0)
+    got = pruning.spearman(f, ["a", "b", "c", "d"], often=often)
+    assert list(got.columns) == list("abcd") and np.abs(got - want).to_numpy().max() < 1e-9
+
+
 def test_tables_beyond_a_worker_train_where_they_are(spark):
     f, small, few = _features(spark), Config(local_rows=10), replace(SMALL, trees=2, least_weight=1.0)
     p = forward.forward_chain(f, ["signal", "noise"], few, config=small).collect()

@@ -144,6 +144,40 @@ def test_attributions_against_all_subsets():
             assert b.attributions(row[None])[0, j] == pytest.approx(want)
 
 
+def test_shared_codes_give_each_columns_histogram():
+    """Columns of few bins are counted together; sums are exact, so parts of a level can be subtracted."""
+    from ledgerloom.models import boosting
+
+    r = np.random.default_rng(2)
+    x = np.column_stack([r.normal(size=3000), r.integers(0, 3, 3000), r.integers(0, 2, 3000), r.poisson(1, 3000), r.exponential(size=3000)])
+    bins = boosting.Bins(x, 64)
+    assert len(bins.groups) < 5 and sorted(j for g in bins.groups for j in g) == list(range(5))
+    g, h = boosting._summable(r.normal(size=3000)), boosting._summable(r.random(3000))
+    rows, columns = np.flatnonzero(r.random(3000) < 0.5), np.array([0, 2, 3, 4])
+    node = r.integers(0, 3, len(rows))
+    got = bins.histograms(rows, node, 3, g, h, columns, 64)
+    for i, j in enumerate(columns):
+        for side, w in enumerate((g, h)):
+            assert (got[side, :, i] == np.bincount(node * 64 + bins.codes[rows, j], w[rows], 192).reshape(3, 64)).all()
+
+
+def test_listed_cases_give_the_attributions_of_the_recursion():
+    from ledgerloom.models import boosting
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 7))
+    b = Booster(replace(SMALL, trees=6, depth=5, least_weight=1.0)).fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    want = np.zeros(x.shape)
+    for tree in b.trees:
+        boosting._attribute(tree, x, 0, {}, want)
+    assert b.attributions(x) == pytest.approx(want) and b.fitted == pytest.approx(b.margin(x))
+
+
+def test_each_test_window_is_a_task_of_its_own(spark):
+    p = forward.forward_chain(_features(spark), ["signal", "noise"], replace(SMALL, trees=2)).select("window_id", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(p) == len({r.window_id for r in p}) == len({r.p for r in p}) == 4
+
+
 def test_forward_chain_sees_only_earlier_windows(spark):
     rows = forward.chained(_features(spark), ["signal"]).where("NOT is_test")
     assert rows.where("window_id >= test_window").isEmpty()

@@ -45,6 +45,24 @@ def test_a_hub_multiplies_no_rows_in_egonets(spark):
     assert motifs.triangles_of(motifs._pairs(e)).isEmpty()
 
 
+@pytest.mark.parametrize("most", [6, 16])
+def test_motifs_are_the_same_in_workers_and_by_joins(spark, most):
+    config = Config(degree_most=most)
+    e = _edges(spark).unionAll(spark.range(25).selectExpr("1L", "0L", "id + 60", "1.0D", "1L")).unionAll(spark.range(25).selectExpr("0L", "id + 60", "1L", "1.0D", "1L")).localCheckpoint()
+    for f in (lambda x: motifs.scatter_gather(e, config, local=x), lambda x: motifs.cycles(e, 6, config, local=x), lambda x: motifs.cycles(e, 3, config, local=x)):
+        one, two = (sorted(map(tuple, f(x).collect())) for x in (True, False))
+        assert one == two and one
+    pairs = motifs._pairs(e).localCheckpoint()
+    one, two = ({(r.window_id, r.x, r.y, r.z): tuple(-1.0 if v is None else v for v in r[4:]) for r in motifs.triangles_of(pairs, local=x).collect()} for x in (True, False))
+    assert one.keys() == two.keys() and one and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
+def test_cycles_make_no_rows_for_paths(spark):
+    """Paths of cycles of 6 are followed in workers: no join, and one shuffle."""
+    plan = motifs.cycles(_edges(spark), 6)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 1
+
+
 def test_curves_and_cutoffs_equal_brute_force(spark):
     import random
 
